@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.llm.common import cut
+from sparkloom.llm.decontaminate import drop_contaminated
+from sparkloom.llm.mixing import mixed_documents
 from sparkloom.llm.near_dup import drop_near_duplicates
+from sparkloom.llm.quality import keep_accepted
+from sparkloom.llm.queries import table
+from sparkloom.llm.sharding import assign_shards
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of low quality, toxic ones and those without text go."""
+    return keep_accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,17 +23,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs)
 
 
-STAGES = [("near duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, in one passage or in several, go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of the sources, drawn to their target weights, as rows of documents."""
+    return mixed_documents(docs)
+
 
-#: Weighted samples and token tiles are beyond SQL; tests/llm holds the stages against brute force.
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every block with its shard."""
+    return assign_shards(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: Fitted weights, consistent samples, tiles and multinomial draws are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; every stage's result is Parquet in the cluster's shared folder."""
-    from sparkloom.llm.common import cut
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

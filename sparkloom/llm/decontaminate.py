@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,26 +143,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     rows are reported as often as they stand; empty tables give no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    benchmark = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
-    if (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > broadcast_bytes:
+    benchmark = _items(benchmark)
+    if not _small(benchmark, broadcast_bytes):
         return _by_seed(docs, benchmark, coverage, least)
-    rows = benchmark.orderBy("item_id", "text").collect()
-    index = Index([r[0] for r in rows], pa.array([r[1] for r in rows], pa.string()), least)
-    index.coverage = coverage
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(_index(benchmark, coverage, least))
 
     def run(batches):
-        own = shared.value
         for batch in pieces(batches):
-            tok = Tokens(*lowered(batch))
-            pairs = own.candidates(tok)
-            if pairs:
+            hits = _hits(shared.value, batch)
+            if hits:
                 ids = batch.column("doc_id")
-                yield _rows(own, [(ids[d].as_py(), i, *own.covered(i, tok.hash[tok.first[d] : tok.first[d + 1]])) for d, i in pairs])
+                yield _rows(shared.value, [(ids[d].as_py(), *x) for d, *x in hits])
 
     return docs.mapInArrow(run, _RESULT)
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
+
+
+def _small(benchmark: DataFrame, limit: int) -> bool:
+    return (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= limit
+
+
+def _index(benchmark: DataFrame, coverage: float, least: int) -> Index:
+    """Of a benchmark that is known to be small."""
+    rows = benchmark.orderBy("item_id", "text").collect()
+    index = Index([r[0] for r in rows], pa.array([r[1] for r in rows], pa.string()), least)
+    index.coverage = coverage
+    return index
+
+
+def _hits(index: Index, batch: pa.RecordBatch) -> list[tuple]:
+    """(text's place, item's place, covered, tiles) of the candidates."""
+    tok = Tokens(*lowered(batch))
+    return [(d, i, *index.covered(i, tok.hash[tok.first[d] : tok.first[d + 1]])) for d, i in index.candidates(tok)]
+
+
 def _by_seed(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int) -> DataFrame:
     """The same for benchmarks of any size: items and documents that share a seed meet, then are tiled."""
 
@@ -202,7 +218,22 @@ def _by_seed(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int)
     return pairs.join(docs, "doc_id").join(benchmark.withColumnRenamed("text", "item"), "item_id").select("doc_id", "text", "item_id", "item").mapInArrow(tile, _RESULT)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that contain benchmark items; rows without doc_id stay."""
-    gone = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
-    return by_id(docs, gone, "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MIN_MATCH, broadcast_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """The rows of docs that contain no benchmark item, with all their columns; see contaminated.
+
+    Each row is judged by its own text, those without doc_id too; for benchmarks beyond broadcast_bytes a repeated doc_id goes
+    with any of its rows, and rows without doc_id stay.
+    """
+    benchmark = _items(benchmark)
+    if not _small(benchmark, broadcast_bytes):
+        gone = cut(contaminated(docs, benchmark, coverage, least, broadcast_bytes).select(F.col("doc_id").alias("__id")).distinct())
+        return by_id(docs, gone, "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(_index(benchmark, coverage, least))
+
+    def run(batches):
+        for batch in pieces(batches):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[d for d, i, n, _ in _hits(shared.value, batch) if n >= shared.value.need(i)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -44,7 +44,7 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     """A keyed permutation of 0 ... n - 1: a Feistel network of six rounds over the next even number of bits, walked until it falls below n."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
-    keys = mix(np.arange(6, dtype=np.uint64) + np.uint64(key & (1 << 63) - 1) * np.uint64(8))
+    keys = mix(np.arange(6, dtype=np.uint64) + np.uint64((key & (1 << 60) - 1) * 8))
     x = x.astype(np.uint64)
     todo = np.arange(len(x))
     while len(todo):

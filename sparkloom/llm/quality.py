@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, by_id, cut, doc_grams, lists, lowered, pieces, record
+from .common import Tokens, cut, doc_grams, lists, lowered, pieces, record
 
 FEATURE_BITS = 18
 #: The fit uses so many labelled documents at most: those whose ids have the least hashes.
@@ -108,23 +108,33 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Data
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
 
-    def score(batches):
+    def run(batches):
         for batch in pieces(batches):
-            flat, edges = features(batch)
-            full = np.diff(edges) > 0
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(edges))
-            scores = []
-            for head in HEADS:
-                w, s, b = model.value[head]
-                norm = np.sqrt(np.bincount(owner, s[flat], batch.num_rows))
-                scores.append(np.bincount(owner, w[flat], batch.num_rows) / np.maximum(norm, 1e-9) + b)
-            ok = full & (scores[0] >= 0) & (scores[1] <= 0)
-            yield record("doc_id quality_score toxic_score accepted", batch.column("doc_id"), *[pa.array(x, mask=~full) for x in scores], ok)
-
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, quality_score double, toxic_score double, accepted boolean")
-
-
-def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that the classifier accepts; a repeated id stays if any of its rows is accepted. Rows without doc_id stay."""
-    gone = cut(classify(docs, labels).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("accepted").alias("ok")).filter("not ok").select("__id"))
-    return by_id(docs, gone, "left_anti")
+            quality, toxic, full, ok = scores(batch, model.value)
+            yield record("doc_id quality_score toxic_score accepted", batch.column("doc_id"), pa.array(quality, mask=~full), pa.array(toxic, mask=~full), ok)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, quality_score double, toxic_score double, accepted boolean")
+
+
+def scores(batch: pa.RecordBatch, model: dict[str, tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Quality and toxicity of each text, whether it has a feature, and whether it is accepted."""
+    flat, edges = features(batch)
+    full = np.diff(edges) > 0
+    owner = np.repeat(np.arange(batch.num_rows), np.diff(edges))
+    found = []
+    for head in HEADS:
+        w, s, b = model[head]
+        norm = np.sqrt(np.bincount(owner, s[flat], batch.num_rows))
+        found.append(np.bincount(owner, w[flat], batch.num_rows) / np.maximum(norm, 1e-9) + b)
+    return *found, full, full & (found[0] >= 0) & (found[1] <= 0)
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of docs that the classifier accepts, with all their columns; see classify. Each row is judged by its own text."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
+
+    def run(batches):
+        for batch in pieces(batches):
+            yield batch.filter(pa.array(scores(batch, model.value)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
