@@ -19,9 +19,9 @@ FLOOR = 1.0  # added to the count of every word
 BITS_PER_ENTRY, PROBE_BITS = 16, 5
 #: Filters are broadcast up to so many bytes; beyond, the documents' n-grams go to the filter's slices.
 BROADCAST_BYTES = 512 << 20
-SLICE_TOKENS = 2_000_000  # tokens of the corpus for each slice of the filter
+SLICE_TOKENS = 1_000_000  # tokens of the corpus for each slice of the filter
 MOST_SLICES = 1 << 14
-_HELD = 3_000_000  # tokens whose n-grams a task holds before it hands them on
+_HELD = 1_500_000  # tokens whose n-grams a task holds before it hands them on
 
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1], np.uint64)
 LEVELS = 1 + int(math.log(2**62, BASE))
@@ -34,6 +34,10 @@ def quantise(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
+#: Levels of n-grams of 1, 2, 3 tokens begin at that of LEAST: lower ones would tell nothing.
+OFFSET = tuple(int(quantise(np.array([c]))[0]) - 1 for c in LEAST)
+
+
 def ngrams(tok: Tokens) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each order: the place of each n-gram's last token, and its hash. N-grams lie within a text."""
     out, h = [], tok.hash
@@ -145,7 +149,7 @@ def _fill(key, table):
         if k == 0:
             tokens, kinds = int(c.sum()), len(g)
         keep = c >= LEAST[k]
-        level = quantise(c[keep])
+        level = quantise(c[keep]) - OFFSET[k]
         h = np.repeat(g[keep] << np.uint64(16), level)
         entries.append(_entry(h, np.arange(len(h)) - np.repeat(np.cumsum(level) - level, level) + 1))
     entries = np.concatenate([np.zeros(0, np.uint64), *entries])
@@ -199,7 +203,7 @@ def log_probabilities(level: list[np.ndarray], doc: np.ndarray, tokens: int, kin
     gives its weight to the next lower order. Words have FLOOR more, over all kinds and one unknown.
     """
     n = len(doc)
-    count = [VALUE[x] for x in level]
+    count = [np.where(x > 0, VALUE[x + OFFSET[k]], 0.0) for k, x in enumerate(level)]
     p = (count[0] + FLOOR) / (tokens + FLOOR * (kinds + 1))
     weight = np.full(n, WEIGHTS[0])
     for k in range(1, ORDER):
@@ -244,7 +248,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, broadcast_bytes: int
     """(doc_id, n_tokens, unknown, log10_prob, perplexity) of every document, in place of its row, under a model of the corpus.
 
     The model has the counts of all n-grams of up to ORDER tokens over the whole corpus (docs, if none is given), but those
-    rarer than LEAST; a count is kept as its level, by entries (n-gram, 1) ... (n-gram, level) in a Bloom filter, and read by
+    rarer than LEAST; a count is kept as its level (1 for LEAST), by entries (n-gram, 1) ... (n-gram, level) in a Bloom filter, and read by
     probes until one is absent. unknown: tokens that the model lacks. The filter is broadcast up to broadcast_bytes; a
     larger one stays in slices, to which the documents' n-grams are sent.
 
