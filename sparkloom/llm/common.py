@@ -37,10 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 def _forget(spark: SparkSession, folder: str) -> None:
     """Remove what this application wrote, while its session still answers."""
-    jvm = spark.sparkContext._jvm
-    if jvm is not None and not spark.sparkContext._jsc.sc().isStopped():
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if jvm is not None and context is not None and not context.sc().isStopped():
         path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -67,6 +67,20 @@ def text_of(df: DataFrame, *columns: str) -> list[Column]:
     return [df[f"`{c}`"] for c in columns]
 
 
+def filter_rows(docs: DataFrame, judge) -> DataFrame:
+    """The rows of docs, of whatever columns, for which judge(record batch with doc_id and text) has true."""
+    names = docs.columns
+    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    id_, text = names.index("doc_id"), names.index("text")
+
+    def run(batches):
+        for batch in pieces(batches, f"c{text}"):
+            own = pa.RecordBatch.from_arrays([batch.column(id_), batch.column(text)], ["doc_id", "text"])
+            yield batch.filter(pa.array(judge(own), pa.bool_()))
+
+    return safe.mapInArrow(run, safe.schema).toDF(*names)
+
+
 def one_row_per_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs, with one row (the first by its values) of each repeated id; rows without an id all stay.
 

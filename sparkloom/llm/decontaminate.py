@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, by_id, cut, lowered, mix, pieces, record
+from .common import Tokens, by_id, cut, filter_rows, lowered, mix, pieces, record
 
 MIN_MATCH = 4  # tokens of the shortest tile
 COVERAGE = 0.6  # share of a benchmark item's tokens in tiles, from which on a document is contaminated
@@ -230,10 +230,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
         return by_id(docs, gone, "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(_index(benchmark, coverage, least))
 
-    def run(batches):
-        for batch in pieces(batches):
-            keep = np.ones(batch.num_rows, bool)
-            keep[[d for d, i, n, _ in _hits(shared.value, batch) if n >= shared.value.need(i)]] = False
-            yield batch.filter(pa.array(keep))
+    def judge(batch):
+        keep = np.ones(batch.num_rows, bool)
+        keep[[d for d, i, n, _ in _hits(shared.value, batch) if n >= shared.value.need(i)]] = False
+        return keep
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, judge)

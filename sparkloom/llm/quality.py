@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, cut, doc_grams, lists, lowered, pieces, record
+from .common import Tokens, cut, doc_grams, filter_rows, lists, lowered, pieces, record
 
 FEATURE_BITS = 18
 #: The fit uses so many labelled documents at most: those whose ids have the least hashes.
@@ -132,9 +132,4 @@ def scores(batch: pa.RecordBatch, model: dict[str, tuple[np.ndarray, np.ndarray,
 def keep_accepted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns; see classify. Each row is judged by its own text."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most))
-
-    def run(batches):
-        for batch in pieces(batches):
-            yield batch.filter(pa.array(scores(batch, model.value)[3]))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, lambda batch: scores(batch, model.value)[3])

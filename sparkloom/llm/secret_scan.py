@@ -31,7 +31,7 @@ RULES = [
     ("client_id", "id", False, re.compile(r"\b[0-9]{6,}-[a-z0-9]{10,}\.apps\.[a-z]+\.com\b"), ".apps."),
     ("assigned_id", "id", False, re.compile(r"(?i)(?:client_?-?id|access_?-?key_?-?id|user_?-?name|user|login|account(?:_?-?id)?|tenant_?-?id|app_?-?id)" + _ASSIGN + r"(?P<v>[A-Za-z0-9@._+-]{3,})"), None),
     ("url", "endpoint", False, re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,}"), "://"),
-    ("cloud_host", "endpoint", False, re.compile(r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|azure|windows|googleapis|cloudfront|rds|database)\.(?:com|net|org)\b"), "."),
+    ("cloud_host", "endpoint", False, re.compile(r"(?<![a-z0-9.-])[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,10}\.(?:amazonaws|azure|windows|googleapis|cloudfront|rds|database)\.(?:com|net|org)\b"), "."),
     ("assigned_host", "endpoint", False, re.compile(r"(?i)(?:host(?:name)?|endpoint|server|base_?-?url|region|bucket)" + _ASSIGN + r"(?P<v>[A-Za-z0-9._:/-]{3,})"), None),
     ("bare_secret", "secret", False, re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"), None),
 ]
@@ -52,6 +52,7 @@ def parts(text: str) -> list[tuple]:
     """
     long, sign = bool(_LONG.search(text)), bool(_SIGN.search(text))
     found: dict[tuple[int, int], tuple] = {}
+    taken = bytearray(len(text))
     for kind, part, strong, pattern, needs in RULES:
         if needs not in text if needs else not (long if kind == "bare_secret" else sign):
             continue
@@ -61,7 +62,8 @@ def parts(text: str) -> list[tuple]:
             b = a + len(value)
             if kind in ("assigned_secret", "bare_secret") and (len(value) < 12 or entropy(value) < BITS_PER_SIGN or not re.search(r"[0-9]", value)):
                 continue
-            if not any(x < b and a < y for x, y in found) if len(found) < 64 else (a, b) not in found:
+            if a < b and 1 not in taken[a:b]:
+                taken[a:b] = b"\1" * (b - a)
                 found[a, b] = (kind, part, strong, a, b, value)
     if not found:
         return []
