@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,7 +16,6 @@ POPULAR = 16  # of SIZE windows, in how many a feature must be the rarest
 LEVELS = 1001  # entropies are told apart in thousandths of the most
 FILTER_BITS, FILTER_FEATURES, PROBES = 2048, 160, 5
 FEWEST = 6  # features, below which digests are not compared
-ANCHORS = 8  # features of least hash by which documents meet
 SCORE = 21  # of 100, from which on a document is reported as similar
 
 _F = np.concatenate([[0.0], np.arange(1, SIZE + 1) * np.log2(np.arange(1, SIZE + 1))])
@@ -113,7 +114,10 @@ def score(a: bytes, na: int, b: bytes, nb: int) -> int:
 
 
 def digests(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(doc_id, n_bytes, n_features, n_filters, digest, anchors) of every row, in place of it."""
+    """(doc_id, n_bytes, n_features, n_filters, digest, same, anchors) of every row, in place of it.
+
+    same: a hash of the digest, null where digests aren't compared; anchors: the hashes of all distinct features that are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # LEVELS numbers
 
     def run(batches):
@@ -122,24 +126,31 @@ def digests(docs: DataFrame, rank: np.ndarray) -> DataFrame:
             place = features(data, offsets, shared.value)
             h = span_hashes(data, place, place + SIZE) if len(place) else np.zeros(0, np.uint64)
             edges = np.searchsorted(place, offsets)
-            out, counts, keys = [], [], []
+            out, counts, keys, same = [], [], [], []
             for a, b in zip(edges, edges[1:]):
                 own = np.unique(h[a:b])
                 out.append(bloom(h[a:b]))
                 counts.append(len(own))
-                keys.append(np.sort(mix(own))[:ANCHORS].view(np.int64) if len(own) >= FEWEST else np.zeros(0, np.int64))
+                keys.append(mix(own).view(np.int64) if len(own) >= FEWEST else np.zeros(0, np.int64))
+                same.append(_same(out[-1]) if len(own) >= FEWEST else None)
             null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
-            yield record("doc_id n_bytes n_features n_filters digest anchors", batch.column("doc_id"), np.diff(offsets), pa.array(counts, pa.int32()), pa.array([len(x) * 8 // FILTER_BITS for x in out], pa.int32()), pa.array(out, pa.binary(), mask=null), lists(np.concatenate([np.zeros(0, np.int64), *keys]), np.array([len(k) for k in keys])))
+            yield record("doc_id n_bytes n_features n_filters digest same anchors", batch.column("doc_id"), np.diff(offsets), pa.array(counts, pa.int32()), pa.array([len(x) * 8 // FILTER_BITS for x in out], pa.int32()), pa.array(out, pa.binary(), mask=null), pa.array(same, pa.int64()), lists(np.concatenate([np.zeros(0, np.int64), *keys]), np.array([len(k) for k in keys])))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_features int, n_filters int, digest binary, same long, anchors array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_features int, n_filters int, digest binary, anchors array<long>")
+def _same(digest: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(digest, digest_size=8).digest(), "big", signed=True)
 
 
-def compare(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """pairs (a, b) with the score of their digests in table; only digests in pairs are shuffled."""
+def compare(table: DataFrame) -> DataFrame:
+    """(a, b, score) of all distinct digests a < b of table that share a feature; only digests in pairs are shuffled."""
+    shared = table.select("same", F.explode("anchors").alias("key")).groupBy("key").agg(F.collect_set("same").alias("a")).filter("size(a) > 1")
+    pairs = cut(shared.withColumn("b", F.col("a")).withColumn("a", F.explode("a")).withColumn("b", F.explode("b")).filter("a < b").groupBy("a", "b").agg(F.count("*").cast("int").alias("shared")))
     sides = []
     for c in "ab":
         ids = cut(pairs.select(F.col(c).alias("__id")).distinct())
-        sides.append(by_id(table, ids, "left_semi").select(F.col("doc_id").alias(c), F.col("digest").alias(f"digest_{c}"), F.col("n_features").alias(f"n_{c}")))
+        sides.append(by_id(table, ids, "left_semi", "same").dropDuplicates(["same"]).select(F.col("same").alias(c), F.col("digest").alias(f"digest_{c}"), F.col("n_features").alias(f"n_{c}")))
 
     def run(batches):
         for batch in batches:
@@ -150,28 +161,39 @@ def compare(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, least: int = SCORE) -> DataFrame:
-    """(doc_id, n_bytes, n_features, n_filters, digest, similar_id, similar_score) of every document, in place of its row; digests in base64.
+    """(doc_id, n_bytes, n_features, n_filters, digest, similar_id, similar_score, nearest_id, nearest_score) of every document, in place of its row; digests in base64.
 
     Features are windows of SIZE bytes. The rarer their entropy among all windows of all texts, the lower their rank; those
     that are of the lowest rank in POPULAR or more of the SIZE windows around are selected, and inserted into chained Bloom
-    filters of FILTER_BITS bits. similar_id: among the documents that are first (of the least id) for one of the ANCHORS least
-    feature hashes of this one, the one whose digest overlaps most, ties to the least id, if the score reaches least. So
-    each document of a group of copies points to its first; that one itself has null.
+    filters of FILTER_BITS bits. Every row is a query: of all other documents that share a feature with it, nearest_id is the
+    one whose digest overlaps most, ties to the least id, if the score reaches least; similar_id is the same among the
+    documents of lesser ids, so each document of a group of copies points to its first by it. Equal digests are taken
+    together and score 100; distinct ones meet by each of their features.
 
     Null texts have null digests; texts shorter than a window have empty ones; fewer than FEWEST features aren't compared.
-    Rows without doc_id have digests and no similar one. Of repeated ids the digest of most features is compared, and all of
-    their rows get the same similar one. An empty table gives no rows; other columns are not read.
+    Rows without doc_id have a nearest document, but no similar one, and are none themselves. Of repeated ids each row is a
+    query by its own digest, and never has its own id. An empty table gives no rows; other columns are not read.
     """
     table = cut(digests(docs, ranks(docs)))
-    known = table.filter("doc_id is not null and size(anchors) > 0")
-    twice = cut(known.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__id")))
-    if not twice.isEmpty():
-        best = by_id(known, twice, "left_semi").groupBy("doc_id").agg(F.max(F.struct("n_features", "digest", "anchors")).alias("m")).select("doc_id", "m.*")
-        known = by_id(known, twice, "left_anti").select("doc_id", "n_features", "digest", "anchors").unionByName(best)
-    keys = known.select("doc_id", F.explode("anchors").alias("key"))
-    first = keys.withColumn("lead", F.min("doc_id").over(Window.partitionBy("key"))).filter("lead <> doc_id")
-    pairs = cut(first.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
-    found = compare(pairs, known.select("doc_id", "digest", "n_features")).filter(F.col("score") >= least)
-    top = cut(found.groupBy(F.col("b").alias("__id")).agg(F.max(F.struct("score", (-F.col("a")).alias("a"))).alias("m")).select("__id", (-F.col("m.a")).alias("similar_id"), F.col("m.score").alias("similar_score")))
-    top = F.broadcast(top) if fits(top, 32) else top
-    return table.drop("anchors").withColumn("digest", F.translate(F.base64("digest"), "\r\n", "")).join(top, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    known = table.filter("same is not null")
+    place = F.row_number().over(Window.partitionBy("same").orderBy("doc_id"))
+    ids = known.filter("doc_id is not null").select("same", "doc_id").distinct().withColumn("place", place).filter("place <= 2")
+    groups = cut(ids.groupBy("same").agg(F.min("doc_id").alias("one"), F.max(F.when(F.col("place") == 2, F.col("doc_id"))).alias("two")))
+    found = cut(compare(known).filter(F.col("score") >= least))
+    both = found.select("a", "b", "score").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(groups.select(F.col("same").alias("a"), F.col("same").alias("b"), F.lit(100).alias("score")))
+    # The least two ids of each digest are enough: one of them isn't that of the row that asks.
+    partner = both.join(groups.withColumnRenamed("same", "b"), "b").select("a", "score", F.explode(F.array("one", "two")).alias("id")).filter("id is not null").groupBy("a", "id").agg(F.max("score").alias("score"))
+    own = groups.select(F.col("same").alias("a"), F.col("one").alias("first"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.col("score").desc(), "id"))
+    best = F.struct("score", (-F.col("id")).alias("id"))
+    top = partner.join(own, "a", "left").withColumn("place", place).groupBy(F.col("a").alias("__same")).agg(
+        F.first("first", True).alias("first"), F.max(F.when(F.col("place") == 1, best)).alias("n1"), F.max(F.when(F.col("place") == 2, best)).alias("n2"), F.max(F.when(F.col("id") < F.col("first"), best)).alias("before")
+    )
+    top = cut(top)
+    top = F.broadcast(top) if fits(top, 64) else top
+    rows = table.drop("anchors").withColumn("digest", F.translate(F.base64("digest"), "\r\n", "")).join(top, F.col("same") == F.col("__same"), "left")
+    # Other rows of a digest than its first document have that one before them, with the score 100.
+    similar = F.when(F.col("doc_id") == F.col("first"), F.col("before")).when(F.col("doc_id") > F.col("first"), F.col("n1"))
+    nearest = F.when(F.col("doc_id") == -F.col("n1.id"), F.col("n2")).otherwise(F.col("n1"))
+    rows = rows.withColumn("__s", similar).withColumn("__n", nearest)
+    return rows.select("doc_id", "n_bytes", "n_features", "n_filters", "digest", (-F.col("__s.id")).alias("similar_id"), F.col("__s.score").alias("similar_score"), (-F.col("__n.id")).alias("nearest_id"), F.col("__n.score").alias("nearest_score"))

@@ -117,3 +117,34 @@ def test_odd_rows(spark, odd, empty):
     again = fp.fingerprints(odd.unionByName(odd).unionByName(make(spark, [(80, prose(8)), (88, prose(88))]))).collect()
     assert len(again) == 2 * len(odd_rows()) + 2
     assert {r.similar_id for r in again if r.doc_id in (80, 88)} == {8, None} or {r.similar_id for r in again if r.doc_id in (80, 88)} == {8}
+
+
+def test_every_row_is_a_query(spark):
+    """Recall over all rows and pairs, both directions: chains, whose best partners are no firsts, copies, and their firsts."""
+    rows = []
+    for g in range(15):
+        w = prose(g, 200).split()
+        for k in range(5):  # each shares most with its neighbours in the chain
+            rows.append((100 * g + 7 * k % 5, " ".join(w[30 * k :] + prose(1000 + 10 * g + k, 30 * k + 1).split())))
+        rows += [(100 * g + 50, rows[-1][1]), (100 * g + 51, rows[-1][1])]
+    docs = make(spark, rows + [(None, rows[0][1])])
+    rank = fp.ranks(docs)
+    digest, own = {}, {}
+    for d, t in rows:
+        data, offsets = arrays([t])
+        at = fp.features(data, offsets, rank)
+        h = span_hashes(data, at, at + fp.SIZE)
+        own[d], digest[d] = set(h.tolist()), (fp.bloom(h), len(set(h.tolist())))
+    scores = defaultdict(dict)
+    for a in own:
+        for b in own:
+            if a != b and own[a] & own[b] and (s := fp.score(*digest[a], *digest[b])) >= fp.SCORE:
+                scores[a][b] = s
+    assert len(scores) > 60
+    got = {r.doc_id: r for r in fp.fingerprints(docs).collect()}
+    for d in own:
+        want = max(((s, -b) for b, s in scores[d].items()), default=None)
+        assert (got[d].nearest_score, got[d].nearest_id) == ((want[0], -want[1]) if want else (None, None))
+        want = max(((s, -b) for b, s in scores[d].items() if b < d), default=None)
+        assert (got[d].similar_score, got[d].similar_id) == ((want[0], -want[1]) if want else (None, None))
+    assert got[None].nearest_score == 100 and got[None].similar_id is None
