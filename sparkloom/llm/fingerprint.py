@@ -15,7 +15,7 @@ SIZE = 64  # bytes of a feature
 POPULAR = 16  # of SIZE windows, in how many a feature must be the rarest
 LEVELS = 1001  # entropies are told apart in thousandths of the most
 FILTER_BITS, FILTER_FEATURES, PROBES = 2048, 160, 5
-FEWEST = 6  # features, below which digests are not compared
+FEWEST = 6  # features, below which the features themselves are compared, not the digests
 SCORE = 21  # of 100, from which on a document is reported as similar
 
 _F = np.concatenate([[0.0], np.arange(1, SIZE + 1) * np.log2(np.arange(1, SIZE + 1))])
@@ -113,10 +113,16 @@ def score(a: bytes, na: int, b: bytes, nb: int) -> int:
     return int(round(float(value.max(1).mean())))
 
 
+def score_few(shared: int, na: int, nb: int) -> int:
+    """The score of so many shared features, where one has too few for its filter to tell: as for digests, but of the features themselves."""
+    return int(round(100 * max(0.0, shared / min(na, nb) - 0.3) / 0.7))
+
+
 def digests(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     """(doc_id, n_bytes, n_features, n_filters, digest, same, anchors) of every row, in place of it.
 
-    same: a hash of the digest, null where digests aren't compared; anchors: the hashes of all distinct features that are.
+    same: a hash of the digest, or of a text without features; null for null and empty texts. anchors: the hashes of all
+    distinct features.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rank)  # LEVELS numbers
 
@@ -126,21 +132,21 @@ def digests(docs: DataFrame, rank: np.ndarray) -> DataFrame:
             place = features(data, offsets, shared.value)
             h = span_hashes(data, place, place + SIZE) if len(place) else np.zeros(0, np.uint64)
             edges = np.searchsorted(place, offsets)
-            out, counts, keys, same = [], [], [], []
+            out, counts, keys = [], [], []
             for a, b in zip(edges, edges[1:]):
                 own = np.unique(h[a:b])
                 out.append(bloom(h[a:b]))
                 counts.append(len(own))
-                keys.append(mix(own).view(np.int64) if len(own) >= FEWEST else np.zeros(0, np.int64))
-                same.append(_same(out[-1]) if len(own) >= FEWEST else None)
+                keys.append(mix(own).view(np.int64))
+            same = [_same(x, b"digest") if x else _same(data[a:b].tobytes(), b"text") if a < b else None for x, a, b in zip(out, offsets, offsets[1:])]
             null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
             yield record("doc_id n_bytes n_features n_filters digest same anchors", batch.column("doc_id"), np.diff(offsets), pa.array(counts, pa.int32()), pa.array([len(x) * 8 // FILTER_BITS for x in out], pa.int32()), pa.array(out, pa.binary(), mask=null), pa.array(same, pa.int64()), lists(np.concatenate([np.zeros(0, np.int64), *keys]), np.array([len(k) for k in keys])))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_features int, n_filters int, digest binary, same long, anchors array<long>")
 
 
-def _same(digest: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(digest, digest_size=8).digest(), "big", signed=True)
+def _same(content: bytes, kind: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(content, digest_size=8, person=kind).digest(), "big", signed=True)
 
 
 def compare(table: DataFrame) -> DataFrame:
@@ -154,8 +160,8 @@ def compare(table: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = [batch.column(c).to_pylist() for c in ("digest_a", "n_a", "digest_b", "n_b")]
-            yield record("a b score", batch.column("a"), batch.column("b"), pa.array([score(*r) for r in zip(*x)], pa.int32()))
+            x = [batch.column(c).to_pylist() for c in ("digest_a", "n_a", "digest_b", "n_b", "shared")]
+            yield record("a b score", batch.column("a"), batch.column("b"), pa.array([score(a, m, b, n) if min(m, n) >= FEWEST else score_few(shared, m, n) for a, m, b, n, shared in zip(*x)], pa.int32()))
 
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a long, b long, score int")
 
@@ -170,7 +176,9 @@ def fingerprints(docs: DataFrame, least: int = SCORE) -> DataFrame:
     documents of lesser ids, so each document of a group of copies points to its first by it. Equal digests are taken
     together and score 100; distinct ones meet by each of their features.
 
-    Null texts have null digests; texts shorter than a window have empty ones; fewer than FEWEST features aren't compared.
+    Null texts have null digests; texts shorter than a window have empty ones. Where one of two documents has fewer than FEWEST
+    features, they are compared by the features themselves; texts without features, if equal. Null and empty texts have no
+    similar one.
     Rows without doc_id have a nearest document, but no similar one, and are none themselves. Of repeated ids each row is a
     query by its own digest, and never has its own id. An empty table gives no rows; other columns are not read.
     """

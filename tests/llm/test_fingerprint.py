@@ -148,3 +148,20 @@ def test_every_row_is_a_query(spark):
         want = max(((s, -b) for b, s in scores[d].items() if b < d), default=None)
         assert (got[d].similar_score, got[d].similar_id) == ((want[0], -want[1]) if want else (None, None))
     assert got[None].nearest_score == 100 and got[None].similar_id is None
+
+
+def test_texts_of_few_features_are_compared(spark):
+    copies = ["no feature here", prose(1, 14), prose(2, 30), prose(3, 60)]
+    rows = [(10 * i + k, t) for i, t in enumerate(copies) for k in range(3)]
+    rows += [(100, prose(2, 30) + " " + prose(9, 200)), (101, ""), (102, ""), (103, None), (104, None), (105, "another without")]
+    got = {r.doc_id: r for r in fp.fingerprints(make(spark, rows)).collect()}
+    few = [got[10 * i].n_features for i in range(4)]
+    assert few[0] == 0 and 0 < few[2] < fp.FEWEST
+    for i in range(len(copies)):
+        a, b, c = (got[10 * i + k] for k in range(3))
+        assert (a.nearest_id, b.nearest_id, c.nearest_id) == (10 * i + 1, 10 * i, 10 * i)
+        assert (a.similar_id, b.similar_id, c.similar_id) == (None, 10 * i, 10 * i)
+        assert a.nearest_score == b.nearest_score == c.nearest_score == 100
+    assert got[100].nearest_id == 20 and got[100].nearest_score >= fp.SCORE
+    assert all(got[d].nearest_id is None for d in range(101, 106))
+    assert [fp.score_few(*x) for x in ((3, 3, 400), (2, 4, 5), (1, 4, 4), (1, 1, 9))] == [100, 29, 0, 100]
