@@ -18,6 +18,8 @@ BITS_PER_SIGN = 3.0  # entropy of what may be a secret
 
 #: (kind, part, strong, pattern). The value is the group v, or the whole match.
 _ASSIGN = r"""["']?\s{0,3}(?:=|:|=>|:=)\s{0,3}["']?"""
+_TELLING = r"(?i)(?:secret|token|passw(?:or)?d|pwd|api_?-?key|access_?-?key|private_?-?key|auth)"
+_LOGIN = r"://(?P<{0}>[^\s/@:\"'<>]*):(?P<{1}>[^\s@/\"'<>]+)@(?P<{2}>[^\s\"'<>]+)"  # user, password and host of a URL
 RULES = [
     ("private_key", "secret", True, re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"), "-----BEGIN "),
     ("github_token", "secret", True, re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}"), "gh"),
@@ -25,7 +27,10 @@ RULES = [
     ("live_key", "secret", True, re.compile(r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"), "k_"),
     ("google_key", "secret", True, re.compile(r"\bAIza[A-Za-z0-9_-]{35}"), "AIza"),
     ("jwt", "secret", True, re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"), "eyJ"),
-    ("assigned_secret", "secret", True, re.compile(r"(?i)(?:secret|token|passw(?:or)?d|pwd|api_?-?key|access_?-?key|private_?-?key|auth)" + _ASSIGN + r"(?P<v>[A-Za-z0-9+/_=.~!@#$%^&*-]{12,})"), None),
+    ("assigned_secret", "secret", True, re.compile(_TELLING + _ASSIGN + r"(?P<v>[A-Za-z0-9+/_=.~!@#$%^&*-]{12,})"), None),
+    ("url_password", "secret", False, re.compile(_LOGIN.format("u", "v", "h")), "://"),
+    ("url_user", "id", False, re.compile(_LOGIN.format("v", "p", "h")), "://"),
+    ("url_host", "endpoint", False, re.compile(_LOGIN.format("u", "p", "v")), "://"),
     ("aws_key_id", "id", False, re.compile(r"\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}\b"), "A"),
     ("account_sid", "id", False, re.compile(r"\bAC[0-9a-f]{32}\b"), "AC"),
     ("client_id", "id", False, re.compile(r"\b[0-9]{6,}-[a-z0-9]{10,}\.apps\.[a-z]+\.com\b"), ".apps."),
@@ -33,6 +38,7 @@ RULES = [
     ("url", "endpoint", False, re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,}"), "://"),
     ("cloud_host", "endpoint", False, re.compile(r"(?<![a-z0-9.-])[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,10}\.(?:amazonaws|azure|windows|googleapis|cloudfront|rds|database)\.(?:com|net|org)\b"), "."),
     ("assigned_host", "endpoint", False, re.compile(r"(?i)(?:host(?:name)?|endpoint|server|base_?-?url|region|bucket)" + _ASSIGN + r"(?P<v>[A-Za-z0-9._:/-]{3,})"), None),
+    ("assigned_value", "secret", False, re.compile(_TELLING + _ASSIGN + r"""(?P<v>(?<=")[^"\n]{1,300}(?=")|(?<=')[^'\n]{1,300}(?=')|[^\s"'<>,;]+)"""), None),
     ("bare_secret", "secret", False, re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"), None),
 ]
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}")
@@ -60,6 +66,9 @@ def parts(text: str) -> list[tuple]:
             a, b = m.span("v" if "v" in pattern.groupindex else 0)
             value = text[a:b].rstrip(".,;")
             b = a + len(value)
+            if kind == "assigned_value" and (clash := taken.find(1, a, b)) >= 0:  # other parts follow without a blank
+                b = clash
+                value = text[a:b]
             if kind in ("assigned_secret", "bare_secret") and (len(value) < 12 or entropy(value) < BITS_PER_SIGN or not re.search(r"[0-9]", value)):
                 continue
             if a < b and 1 not in taken[a:b]:
@@ -107,8 +116,8 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     Parts are access identifiers, secrets and endpoints; start and end count signs from 0. ids, secrets, endpoints: how many
     parts of those kinds the interval join links to it, in its paragraph and within reach. Strong secrets (of a known form,
-    or assigned to a telling name) are always reported. Weak candidates (bare strings of high entropy; identifiers) are
-    reported as "linked" where complementary parts co-occur: a secret with an identifier or endpoint, an identifier
+    or assigned to a telling name, long and of high entropy) are always reported. Weak candidates (bare strings of high entropy; values of any length and
+    alphabet assigned to a telling name, and passwords in URLs; identifiers) are reported as "linked" where complementary parts co-occur: a secret with an identifier or endpoint, an identifier
     or endpoint with a secret. A weak secret's links don't make an identifier of it alone. Values are given as hashes only.
 
     Null and empty texts have no findings. Rows without doc_id are reported with a null. Rows repeated in id and text are

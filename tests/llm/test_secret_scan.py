@@ -77,3 +77,26 @@ def test_odd_rows(spark, odd, empty):
     assert sorted((r.doc_id or 0, r.kind) for r in out) == [(0, "aws_key_id"), (0, "bare_secret"), (20, "aws_key_id"), (20, "bare_secret"), (21, "aws_key_id"), (21, "bare_secret")]
     assert ss.scan(empty).count() == 0
     assert len(odd_rows()) == odd.count()
+
+
+def test_weak_passwords_are_reported_when_linked(spark):
+    docs = [
+        (1, "host=db1.example.com user=admin password=Tr0ub4dor&3"),
+        (2, "login: anna password: correct-horse-battery"),
+        (3, "postgres://admin:Tr0ub4dor3xyzq@db1/x"),
+        (4, """{"user": "anna", "password": "a b, c"}"""),
+        (5, "password=x&user=anna"),
+        (6, "password: correct-horse-battery"),
+        (7, "https://a.example.com:8080/x"),
+    ]
+    got = {}
+    for r in ss.scan(make(spark, docs)).collect():
+        got.setdefault(r.doc_id, set()).add((r.part, docs[r.doc_id - 1][1][r.start : r.end]))
+        assert r.strength == "linked"
+    assert got == {
+        1: {("endpoint", "db1.example.com"), ("id", "admin"), ("secret", "Tr0ub4dor&3")},
+        2: {("id", "anna"), ("secret", "correct-horse-battery")},
+        3: {("id", "admin"), ("secret", "Tr0ub4dor3xyzq"), ("endpoint", "db1/x")},
+        4: {("id", "anna"), ("secret", "a b, c")},
+        5: {("id", "anna"), ("secret", "x&user=")},
+    }
