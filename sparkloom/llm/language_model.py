@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import Tokens, cut, lowered, mix, pieces, record
 
 ORDER = 3
-LEAST = (1, 2, 2)  # count from which on an n-gram of 1, 2, 3 tokens is kept
+LEAST = (1, 1, 1)  # count from which on an n-gram of 1, 2, 3 tokens is kept
 BASE = 1.5  # counts are told apart by powers of it
 WEIGHTS = (0.1, 0.3, 0.6)  # of the orders 1, 2, 3 in the interpolation
 FLOOR = 1.0  # added to the count of every word
@@ -247,8 +247,8 @@ def _levels(tok: Tokens, look) -> list[np.ndarray]:
 def score(docs: DataFrame, corpus: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, n_tokens, unknown, log10_prob, perplexity) of every document, in place of its row, under a model of the corpus.
 
-    The model has the counts of all n-grams of up to ORDER tokens over the whole corpus (docs, if none is given), but those
-    rarer than LEAST; a count is kept as its level (1 for LEAST), by entries (n-gram, 1) ... (n-gram, level) in a Bloom filter, and read by
+    The model has the counts of all n-grams of up to ORDER tokens over the whole corpus (docs, if none is given), from
+    the count 1 on (LEAST); a count is kept as its level (1 for 1), by entries (n-gram, 1) ... (n-gram, level) in a Bloom filter, and read by
     probes until one is absent. unknown: tokens that the model lacks. The filter is broadcast up to broadcast_bytes; a
     larger one stays in slices, to which the documents' n-grams are sent.
 

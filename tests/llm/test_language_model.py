@@ -105,3 +105,16 @@ def test_odd_rows(spark, odd, empty, limit):
     assert len({r.log10_prob for r in out if r.doc_id == 8}) == 2
     assert lm.score(empty, broadcast_bytes=limit).count() == 0
     assert lm.score(odd, empty, broadcast_bytes=limit).count() == len(odd_rows())
+
+
+def test_ngrams_that_occur_once_are_kept(spark, monkeypatch):
+    texts = [prose(i, 150) for i in range(20)]
+    corpus = make(spark, list(enumerate(texts)))
+    table, slices, _, _ = lm.train(corpus)
+    f = lm.Filter(slices, [(r.slice, bytes(r.bits)) for r in table.collect()])
+    for _, h in lm.ngrams(Tokens(*lowered(record("text", texts)))):
+        assert (f.levels(h) >= 1).all()
+    got = {r.doc_id: r.log10_prob for r in lm.score(corpus).collect()}
+    monkeypatch.setattr(lm, "LEAST", (1, 1, 1))
+    for i, (n, s) in enumerate(brute(texts, texts)):
+        assert abs(got[i] - s) < 0.05 * n  # false positives; without the counts of 1 a token is off by more than 1
