@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WORD, BROADCAST_BYTES, cut, fits, lists, pieces, raw, record, span_hashes
+from .common import _WORD, BROADCAST_BYTES, by_id, cut, fits, lists, pieces, raw, record, span_hashes
 
-REACH = 20  # tokens on either side of an entity within which terms co-occur with it
-JOINT = 2  # documents, at least, in which term and entity co-occur
+REACH = 1 << 40  # tokens on either side of an entity within which terms co-occur with it: the whole document
+JOINT = 2  # distinct texts, at least, in which term and entity co-occur
 GENERALISE, REMOVE = 0.6, 0.85  # disclosure from which on a term is generalised, or removed
 
 #: (kind, pattern, a sign that must occur)
@@ -51,38 +51,34 @@ def hashed(words: list[str]) -> np.ndarray:
     return span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64) if len(data) else np.zeros(len(words), np.int64)
 
 
-def near_terms(text: str, found: list[tuple[int, int, str]], reach: int = REACH) -> list[set[str]]:
-    """Of each entity, the distinct terms within reach tokens of it; tokens within entities aren't terms."""
+def terms_of(text: str, found: list[tuple[int, int, str]]) -> set[str]:
+    """The distinct terms of the text; tokens within entities aren't terms."""
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     starts = np.array([a for a, _ in tokens], np.int64)
-    edges = np.array([[a, b] for a, b, _ in found]).reshape(-1, 2)
     free = np.ones(len(tokens), bool)
-    for a, b in edges:
+    for a, b, _ in found:
         free[np.searchsorted(starts, a) : np.searchsorted(starts, b)] = False
-    out = []
-    for a, b in edges:
-        lo, hi = int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b))
-        out.append({text[slice(*tokens[i])].lower() for i in range(max(0, lo - reach), min(len(tokens), hi + reach)) if free[i]})
-    return out
+    return {text[a:b].lower() for (a, b), ok in zip(tokens, free) if ok}
 
 
 def _mentions(batches):
-    """(key, entity, terms) for every distinct entity of every row that has one: the terms near any of its mentions."""
+    """(key, entities, terms) of every row that has an entity, both distinct."""
     for batch in pieces(batches):
-        keys, owner, sizes, words = [], [], [], []
+        keys, owners, terms = [], [], []
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
             found = entities(text) if text else []
             if found:
-                near: dict[str, set[str]] = {}
-                for (a, b, kind), terms in zip(found, near_terms(text, found)):
-                    near.setdefault(f"{kind} {text[a:b].lower()}", set()).update(terms)
-                for e, terms in near.items():
-                    keys.append(key)
-                    owner.append(e)
-                    sizes.append(len(terms))
-                    words += sorted(terms)
+                keys.append(key)
+                owners.append(sorted({f"{kind} {text[a:b].lower()}" for a, b, kind in found}))
+                terms.append(sorted(terms_of(text, found)))
         if keys:
-            yield record("key entity terms", pa.array(keys, pa.int64()), hashed(owner), lists(hashed(words), np.array(sizes)))
+            yield record("key entities terms", pa.array(keys, pa.int64()), *[lists(hashed([w for own in x for w in own]), np.array([len(own) for own in x])) for x in (owners, terms)])
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """The rows of docs (key, text), one of each key; only the texts of repeated ones are shuffled."""
+    twice = cut(docs.groupBy(F.col("key").alias("__id")).count().filter("count > 1").select("__id"))
+    return by_id(docs, twice, "left_anti", "key").unionByName(by_id(docs, twice, "left_semi", "key").dropDuplicates(["key"]))
 
 
 def _lower_tokens(batch) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +127,10 @@ def disclosures(docs: DataFrame, mentions: DataFrame, joint: int = JOINT) -> Dat
     disclosure = log(N n(e, t) / (n(e) n(t))) / log(N / n(e)), by numbers of rows; 1: the term has the entity's whole information.
     """
     n = docs.count()
-    of_entity = cut(mentions.groupBy("entity").agg(F.count("*").alias("ne")).filter(F.col("ne") >= joint))
+    each = mentions.select(F.explode("entities").alias("entity"), "terms")
+    of_entity = cut(each.groupBy("entity").agg(F.count("*").alias("ne")).filter(F.col("ne") >= joint))
     side = F.broadcast(of_entity) if fits(of_entity, 24) else of_entity
-    pairs = cut(mentions.join(side, "entity").select("entity", "ne", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("ne").alias("ne")).filter(F.col("both") >= joint))
+    pairs = cut(each.join(side, "entity").select("entity", "ne", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("ne").alias("ne")).filter(F.col("both") >= joint))
     frequencies = cut(term_frequencies(docs, cut(pairs.select("term").distinct())))
     value = F.log(F.lit(float(n)) * F.col("both") / (F.col("ne") * F.greatest("df", "both"))) / F.greatest(F.log(F.lit(float(n)) / F.col("ne")), F.lit(1e-9))
     return pairs.join(frequencies, "term").select("entity", "term", value.alias("disclosure"))
@@ -180,19 +177,20 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     """(doc_id, text, entities, generalised, removed) of every document, in place of its row.
 
     Protected entities (e-mail and IP addresses, telephone, card, account and social security numbers) become their kinds.
-    Terms that co-occur with an entity, within REACH tokens, in joint documents or more disclose it by their pointwise
-    mutual information with it over the entity's information, both from all documents. In documents with the entity, terms
+    Terms that co-occur with an entity, anywhere in the text, in joint distinct texts or more disclose it by their pointwise
+    mutual information with it over the entity's information, both from all distinct texts. In documents with the entity, terms
     that disclose it from generalise on become [WORD], [NAME] or [NUMBER], from remove on they are removed, all over the text.
     Documents without entities stay as they are.
 
     Null texts stay null, empty ones empty, with 0 of each. Rows without doc_id are sanitised and counted too. Repeated
-    rows are sanitised each and count each. An empty table gives no rows; other columns are not read.
+    texts are sanitised each and count once. An empty table gives no rows; other columns are not read.
     """
-    docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    mentions = cut(docs.select("key", "text").mapInArrow(_mentions, "key long, entity long, terms array<long>"))
-    told = disclosures(docs, mentions, joint).filter(F.col("disclosure") >= generalise).select("entity", "term", (F.col("disclosure") >= remove).alias("gone"))
+    docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
+    once = distinct_texts(docs.select("key", "text"))
+    mentions = cut(once.mapInArrow(_mentions, "key long, entities array<long>, terms array<long>"))
+    told = disclosures(once, mentions, joint).filter(F.col("disclosure") >= generalise).select("entity", "term", (F.col("disclosure") >= remove).alias("gone"))
     told = cut(told)
-    which = mentions.select("key", "entity").distinct().join(told, "entity").groupBy(F.col("key").alias("__key"), "term").agg(F.max("gone").alias("gone"))
+    which = mentions.select("key", F.explode("entities").alias("entity")).join(told, "entity").groupBy(F.col("key").alias("__key"), "term").agg(F.max("gone").alias("gone"))
     plan = cut(which.groupBy("__key").agg(F.collect_list("term").alias("terms"), F.collect_list("gone").alias("gone")))
     small = (plan.agg(F.sum(F.size("terms") * 9 + 32)).first()[0] or 0) <= BROADCAST_BYTES
     plan = F.broadcast(plan) if small else plan

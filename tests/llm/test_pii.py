@@ -128,3 +128,15 @@ def test_odd_rows(spark, odd, empty):
     assert not have - Counter(r.text for r in out)
     assert sum(r.entities for r in out) == 3
     assert pii.sanitise(empty).count() == 0
+
+
+def test_far_terms_disclose_and_copies_count_once(spark):
+    docs = [prose(i, 60, 200) for i in range(100)]
+    docs += [f"Dr. Farname{k} {prose(500 + 10 * k + j, 80, 200)} ask person.{k}@mail.example.com" for k in range(4) for j in range(3)]
+    docs += [f"copied only {prose(900, 80, 5000)} ask copied@mail.example.com"] * 3
+    got = {r.doc_id: r for r in pii.sanitise(make(spark, list(enumerate(docs)))).collect()}
+    for i, text in enumerate(docs):
+        if "Farname" in text:
+            assert "Farname" not in got[i].text and got[i].removed
+        if "copied" in text:
+            assert got[i].text == text.replace("copied@mail.example.com", "[EMAIL]")
