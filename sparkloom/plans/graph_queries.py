@@ -90,6 +90,21 @@ def pr_cap(t):
     return graph.rank_cap(_ranks(t, 2)).withColumn("cap", F.round("cap", 9))
 
 
+# The same with the operator's own number of iterations; rounds are materialised, or they would be computed again for each use.
+ITERATIONS = 30
+_R30 = _pagerank(ITERATIONS).replace(" AS (SELECT v.node", " AS MATERIALIZED (SELECT v.node").replace(", v AS (", ", v AS MATERIALIZED (").replace(", w AS (", ", w AS MATERIALIZED (")
+
+
+@query("pagerank_30", f"{_R30} SELECT node, round(rank, 9) AS rank FROM r30")
+def pagerank_30(t):
+    return _ranks(t, ITERATIONS).withColumn("rank", F.round("rank", 9))
+
+
+@query("pr_cap_30", f"{_R30} SELECT round(rank, 9) AS cap FROM (SELECT rank, row_number() OVER (ORDER BY rank DESC) AS k, count(*) OVER () AS n FROM r30) WHERE k = (n // 10) + 1")
+def pr_cap_30(t):
+    return graph.rank_cap(_ranks(t, ITERATIONS)).withColumn("cap", F.round("cap", 9))
+
+
 @query("in_degree_by_type", f"{_G} SELECT dst AS node, count(*) FILTER (edge_type = 'call')::BIGINT AS calls, count(*) FILTER (edge_type = 'inherit')::BIGINT AS inherits FROM e GROUP BY dst")
 def in_degree_by_type(t):
     return graph.in_degrees(t.derived(EDGES))
@@ -108,6 +123,12 @@ def expand_weighted(t):
     return graph.expand(t.derived(EDGES), _ranks(t, 2), t.derived(SEEDS), 2, 10).withColumn("weight", F.round("weight", 9))
 
 
+@query("expand_weighted_30", _R30 + _khop("both")[len(_G):] + f""", m AS (SELECT src AS ms, dst AS md, max({_PRIOR}) AS p FROM (SELECT src, dst, edge_type FROM e UNION ALL SELECT dst, src, edge_type FROM e) GROUP BY ALL)
+ SELECT seed, node, round(weight, 9) AS weight, place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY (node = seed) DESC, round(weight, 9) DESC, node)::INT AS place FROM (SELECT seed, k.node, CASE WHEN k.node = seed THEN 0::DOUBLE ELSE coalesce(p * (1 + coalesce(rank, 0)), 0) END AS weight FROM k LEFT JOIN m ON seed = ms AND k.node = md LEFT JOIN r30 ON r30.node = k.node)) WHERE place <= 10""")
+def expand_weighted_30(t):
+    return graph.expand(t.derived(EDGES), _ranks(t, ITERATIONS), t.derived(SEEDS), 2, 10).withColumn("weight", F.round("weight", 9))
+
+
 # Rectangles from the first four numbers of each embedding.
 RECTS = "SELECT vec_id AS id, CAST({0} AS DOUBLE) * 100 AS x, CAST({1} AS DOUBLE) * 100 AS y, abs(CAST({2} AS DOUBLE)) * 10 AS w, abs(CAST({3} AS DOUBLE)) * 10 AS h FROM embeddings"
 _R = RECTS.format(*[f"embedding[{k}]" for k in (1, 2, 3, 4)])

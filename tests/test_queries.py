@@ -37,3 +37,24 @@ def test_rows_equal_those_of_the_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert all_queries.QUERIES.keys() == all_queries.SQL.keys()
+
+
+def test_thirty_iterations_against_brute_force(spark):
+    """Ranks, their cap and weights of neighbourhoods with the operator's own number of iterations, on a small graph."""
+    from sparkloom.operators import graph
+
+    edges = [(f"n{i}", f"n{i * i % 23}", 1.0 + i % 3) for i in range(40)] + [(f"n{i}", f"n{i + 1}", 0.5) for i in range(39)]
+    nodes = sorted({x for e in edges for x in e[:2]} | {"alone"})
+    out = {n: sum(w for a, _, w in edges if a == n) for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(30):
+        loose = sum(rank[n] for n in nodes if not out[n])
+        new = {n: 0.15 / len(nodes) + 0.85 * loose / len(nodes) for n in nodes}
+        for a, b, w in edges:
+            new[b] += 0.85 * rank[a] * w / out[a]
+        rank = new
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    got = graph.pagerank(spark.createDataFrame([(n,) for n in nodes], "node string"), df).cache()
+    assert {r.node: r["rank"] for r in got.collect()} == pytest.approx(rank, abs=1e-9)
+    assert graph.rank_cap(got).first()[0] == pytest.approx(sorted(rank.values(), reverse=True)[len(nodes) // 10], abs=1e-9)
+    assert {"pagerank_30", "pr_cap_30", "expand_weighted_30"} <= all_queries.QUERIES.keys()
