@@ -8,8 +8,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SKIPPED = ".git .hg .svn __pycache__ .venv venv env node_modules dist build .tox .mypy_cache .pytest_cache .idea .vscode site-packages .eggs target .cache htmlcov".split()
-REGISTRY = "__init__.py apps.py urls.py settings.py admin.py registry.py".split()
+SKIPPED = sorted("dist build target env ENV venv .venv .git .hg .svn .nox .tox .next .eggs node_modules site-packages __pycache__ .ruff_cache .mypy_cache .pytest_cache".split())
+#: Beginnings of the names of temporary folders.
+TEMPORARY = (".smoke-",)
+REGISTRY = sorted("urls.py apps.py admin.py config.py settings.py global_settings.py __init__.py".split())
 
 
 def base(path: Column) -> Column:
@@ -34,12 +36,19 @@ def camel(name: Column) -> Column:
 
 
 def kind(path: Column, loc: Column) -> Column:
-    """test, migration, registry or normal."""
+    """test, migration, registry or normal; a part that begins with tests or test_, the name's own too, makes a test."""
     parts, name = F.split(path, "/"), base(path)
-    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    test = F.exists(folders, lambda p: (p == "tests") | p.startswith("test_")) | name.startswith("test_") | name.isin("tests.py", "conftest.py")
+    test = F.exists(parts, lambda p: p.startswith("tests") | p.startswith("test_")) | (name == "conftest.py")
     registry = name.isin(REGISTRY) & ~((name == "__init__.py") & (loc < 10))
-    return F.when(test, "test").when(F.array_contains(folders, "migrations") & name.startswith("0"), "migration").when(registry, "registry").otherwise("normal")
+    migration = F.array_contains(parts, "migrations") & name.startswith("0") & name.endswith(".py")
+    return F.when(test, "test").when(migration, "migration").when(registry, "registry").otherwise("normal")
+
+
+def inferred_kind(path: Column) -> Column:
+    """The kind of a node of which only the path is known (null counts as none): test, registry or normal."""
+    low = F.lower(F.translate(F.coalesce(path, F.lit("")), "\\", "/"))
+    test = F.contains(F.concat(F.lit("/"), low), F.lit("/tests/")) | base(low).startswith("test_")
+    return F.when(test, "test").when(base(low).isin("__init__.py", "apps.py", "urls.py", "settings.py", "global_settings.py"), "registry").otherwise("normal")
 
 
 def admitted(path: Column, loc: Column) -> Column:
@@ -50,7 +59,7 @@ def admitted(path: Column, loc: Column) -> Column:
 def skipped_folder(path: Column) -> Column:
     """Whether a folder above the file is one of those that scans leave out."""
     folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    return F.exists(folders, lambda p: p.isin(SKIPPED) | p.startswith(".smoke-") | p.endswith(".egg-info"))
+    return F.exists(folders, lambda p: p.isin(SKIPPED) | F.array_contains(F.transform(F.array(*[F.lit(t) for t in TEMPORARY]), lambda t: F.startswith(p, t)), True) | p.endswith(".egg-info"))
 
 
 def ignore_regex(pattern: str) -> str:
@@ -72,3 +81,10 @@ def match_score(a: Column, b: Column) -> Column:
     """18 if either path ends the other, 12 for the same file name, 8 for the same stem, else 0; case and slash direction aside."""
     x, y = (F.lower(F.translate(p, "\\", "/")) for p in (a, b))
     return F.when(F.endswith(x, y) | F.endswith(y, x), 18).when(base(x) == base(y), 12).when(stem(x) == stem(y), 8).otherwise(0)
+
+
+def match(a: str, b: str) -> bool:
+    """Whether match_score of two paths is positive."""
+    x, y = (p.replace("\\", "/").lower() for p in (a, b))
+    ends = lambda p: (p.rpartition("/")[2], re.sub(r"(?<=.)\.[^.]*$", "", p.rpartition("/")[2]))
+    return x.endswith(y) or y.endswith(x) or any(i == j for i, j in zip(ends(x), ends(y)))

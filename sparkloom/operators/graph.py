@@ -9,6 +9,8 @@ from ..functions.lineage import written
 
 PRIORS = {"import": 0.12, "call": 0.28, "inherit": 0.32, "descriptor": 0.34, "config-ref": 0.41, "migration-of": 0.18, "test-of": 0.05}
 OTHER_PRIOR, DECAY, DAMPING = 0.1, 0.82, 0.85
+#: Edges of a source under one key of PageRank's partitions.
+KEY_EDGES = 1_000_000
 
 
 def prior(edge_type: Column) -> Column:
@@ -55,45 +57,91 @@ def khop(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "out")
     return seen
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both") -> DataFrame:
-    """(seed, node, score, hop): the best product of priors along a path, each hop decayed once more; seeds aren't entered.
-
-    A later hop wins only by a greater score.
-    """
-    steps = directed(edges.select("src", "dst", "edge_type"), direction).withColumn("p", prior(F.col("edge_type"))).groupBy("src", "dst").agg(F.max("p").alias("p"))
-    front, best = seeds.select("seed", F.col("seed").alias("node"), F.lit(1.0).alias("carry")).distinct(), None
+def propagate_from(edges: DataFrame, starts: DataFrame, hops: int, direction: str = "both") -> DataFrame:
+    """(seed, node, weight, hop, via) of every hop: the best product of priors along a path from any of the seed's starts (seed, node),
+    each hop decayed once more, and the type of its last edge (of equal products the first by name). Starts aren't entered."""
+    steps = directed(edges.select("src", "dst", "edge_type"), direction).withColumn("p", prior(F.col("edge_type"))).groupBy("src", "dst").agg(F.max("p").alias("p"), F.min_by("edge_type", F.struct(-F.col("p"), "edge_type")).alias("via"))
+    steps = written(steps)
+    starts = written(starts.select("seed", "node").distinct())
+    front, out = starts.withColumn("weight", F.lit(1.0)), None
     for hop in range(1, hops + 1):
-        moved = front.join(steps, front.node == steps.src).filter(F.col("dst") != F.col("seed"))
-        front = written(moved.groupBy("seed", F.col("dst").alias("node")).agg(F.max(F.col("carry") * F.col("p") * DECAY ** (hop - 1)).alias("carry")))
-        own = front.select("seed", "node", F.col("carry").alias("score"), F.lit(hop).alias("hop"))
-        best = own if best is None else best.unionByName(own)
-    top = best.groupBy("seed", "node").agg(F.max(F.struct("score", (-F.col("hop")).alias("h"))).alias("m"))
-    return top.select("seed", "node", F.col("m.score").alias("score"), (-F.col("m.h")).alias("hop"))
+        moved = front.select("seed", F.col("node").alias("src"), "weight").join(steps, "src").withColumn("weight", F.col("weight") * F.col("p") * DECAY ** (hop - 1))
+        front = moved.groupBy("seed", F.col("dst").alias("node")).agg(F.max("weight").alias("weight"), F.min_by("via", F.struct(-F.col("weight"), "via")).alias("via"))
+        front = written(front.join(starts, ["seed", "node"], "left_anti"))
+        own = front.select("seed", "node", "weight", F.lit(hop).alias("hop"), "via")
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        return starts.filter("false").select("seed", "node", F.lit(0.0).alias("weight"), F.lit(0).alias("hop"), F.lit("").alias("via"))
+    return out
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, cut_every: int = 5) -> DataFrame:
+def best_path(found: DataFrame) -> DataFrame:
+    """Of each seed and node the greatest weight; a later hop wins only by a greater one."""
+    top = found.groupBy("seed", "node").agg(F.min(F.struct((-F.col("weight")).alias("w"), "hop", "via")).alias("m"))
+    return top.select("seed", "node", (-F.col("m.w")).alias("weight"), F.col("m.hop").alias("hop"), F.col("m.via").alias("via"))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both") -> DataFrame:
+    """(seed, node, score, hop, via) from single seeds (seed): see propagate_from and best_path."""
+    found = propagate_from(edges, seeds.select("seed", F.col("seed").alias("node")), hops, direction)
+    return best_path(found).withColumnRenamed("weight", "score")
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30) -> DataFrame:
     """(node, rank) after so many iterations. Parallel edges add up; edges of no weight or unknown ends don't count; the mass
-    of nodes without out-edges spreads evenly. edges: (src, dst, weight)."""
-    nodes = nodes.select("node").distinct()
-    n = nodes.count()
-    known = edges.filter("weight > 0").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    steps = written(known.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share"))
-    rank = written(nodes.join(steps.select(F.col("src").alias("node")).distinct().withColumn("has", F.lit(True)), "node", "left").select("node", F.col("has").isNull().alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank")))
-    for i in range(1, iterations + 1):
-        flow = rank.join(steps, rank.node == steps.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        loose = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("loose"))  # one row
-        rank = rank.join(flow, rank.node == flow.dst, "left").crossJoin(F.broadcast(loose)).select("node", "dangling", ((1 - DAMPING) / n + DAMPING * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        if i % cut_every == 0 and i < iterations:
-            rank = written(rank)
+    of nodes without out-edges spreads evenly. edges: (src, dst, weight).
+
+    Edges are partitioned by source once; each round moves ranks and partial sums only. Sources of very many edges are spread
+    over several keys. Every round is written, so plans don't grow.
+    """
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.select("node").filter("node is not null").distinct()
+    known = written(edges.filter("weight > 0").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    out = written(known.groupBy("src").agg(F.sum("weight").alias("whole"), F.ceil(F.count("*") / KEY_EDGES).cast("int").alias("keys")))
+    state = written(nodes.join(out.select(F.col("src").alias("node"), "keys"), "node", "left"))
+    n = state.count()
+    # Persisted from written tables: a lost executor's part is computed again from those.
+    steps = known.join(out, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("keys")).cast("int").alias("key"), "dst", (F.col("weight") / F.col("whole")).alias("share")).repartition(parts, "src", "key").persist()
+    rank = written(state.withColumn("rank", F.lit(1.0 / max(n, 1))))
+    for _ in range(iterations):
+        loose = rank.filter("keys is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        sent = rank.filter("keys is not null").select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"), "rank")
+        flow = sent.join(steps, ["src", "key"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+        rank = written(rank.join(flow, rank.node == flow.dst, "left").select("node", "keys", ((1 - DAMPING) / n + DAMPING * (F.coalesce("flow", F.lit(0.0)) + loose / n)).alias("rank")))
+    steps.unpersist()
     return rank.select("node", "rank")
 
 
 def rank_cap(ranks: DataFrame) -> DataFrame:
-    """One row: the rank at the place floor(n / 10) from above; where that isn't positive, half the greatest, or 1."""
-    top = Window.orderBy(F.col("rank").desc())
-    place = ranks.select("rank", F.row_number().over(top).alias("place")).crossJoin(F.broadcast(ranks.agg(F.count("*").alias("n"), F.max("rank").alias("most"))))
-    p = F.max(F.when(F.col("place") == F.floor(F.col("n") * 0.1) + 1, F.col("rank")))
-    return place.agg(p.alias("p"), F.max("most").alias("most")).select(F.when(F.col("p") > 0, F.col("p")).when(F.col("most") > 0, F.col("most") / 2).otherwise(1.0).alias("cap"))
+    """One row: the rank at the place floor(n / 10) from above; where that isn't positive, half the greatest, or 1.
+
+    The place is found by histograms of narrower and narrower ranges, so no task sees all ranks in order.
+    """
+    spark = ranks.sparkSession
+    n, most = ranks.agg(F.count("*"), F.max("rank")).first()
+    if not n:
+        return spark.createDataFrame([(1.0,)], "cap double")
+    counts = written(ranks.groupBy("rank").agg(F.count("*").alias("c")))
+    want, low, high = int(n * 0.1) + 1, None, None
+    while True:
+        own = counts if low is None else counts.filter((F.col("rank") >= low) & (F.col("rank") <= high))
+        lo, hi, kinds = own.agg(F.min("rank"), F.max("rank"), F.count("*")).first()
+        if kinds <= 4096 or lo == hi:
+            rows = sorted(((r["rank"], r["c"]) for r in own.collect()), reverse=True)  # 4096 at most
+            for value, c in rows:
+                want -= c
+                if want <= 0:
+                    break
+            cap = value if value > 0 else most / 2 if most > 0 else 1.0
+            return spark.createDataFrame([(float(cap),)], "cap double")
+        width = (hi - lo) / 1024
+        bins = own.groupBy(F.least(F.floor((F.col("rank") - lo) / width), F.lit(1023)).alias("b")).agg(F.sum("c").alias("c"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).orderBy(F.col("b").desc()).collect()  # 1024 at most
+        for r in bins:
+            if want <= r["c"]:
+                low, high = r["lo"], r["hi"]
+                break
+            want -= r["c"]
 
 
 def in_degrees(edges: DataFrame) -> DataFrame:

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 
-def namespaces(files: DataFrame, path: str) -> DataFrame:
-    """(folder, name) of every folder: its last part as a type name; later ones of a name, by depth and path, are numbered from 2."""
-    folders = files.select(paths.cluster(F.col(path)).alias("folder")).distinct().withColumn("base", paths.camel(F.col("folder")))
-    order = Window.partitionBy("base").orderBy(F.size(F.split("folder", "/")), "folder")
+def namespaces(files: DataFrame, path: str, root: str = ".") -> DataFrame:
+    """(folder, name) of every folder: its last part (root for the topmost) as a type name; later ones of a name, by depth and path, are
+    numbered from 2."""
+    folder = F.col("folder")
+    top = folder == "."
+    folders = files.select(paths.cluster(F.col(path)).alias("folder")).distinct().withColumn("base", F.when(top, paths.camel(F.lit(root))).otherwise(paths.camel(folder)))
+    order = Window.partitionBy("base").orderBy(F.when(top, 0).otherwise(F.size(F.split("folder", "/"))), "folder")
     n = F.row_number().over(order)
     return folders.withColumn("n", n).select("folder", F.when(F.col("n") > 1, F.concat("base", F.col("n").cast("string"))).otherwise(F.col("base")).alias("name"))
 

@@ -31,9 +31,14 @@ def find_node_dotted(t):
     return graph.find_dotted(n, n.select(F.concat_ws(".", F.split_part("ns_path", F.lit("."), F.lit(-1)), "name").alias("ref")).distinct())
 
 
+#: Where inbound traversal begins: suppliers have no edge that leads to them.
+ENDS = "SELECT concat('P', p_partkey) AS seed FROM part WHERE p_partkey % 17 = 1"
+
+
 def _khop(direction, hops=2):
     d = {"out": "SELECT src, dst FROM e", "in": "SELECT dst AS src, src AS dst FROM e", "both": "SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e"}[direction]
-    return f"""{_G}, d AS (SELECT DISTINCT src, dst FROM ({d})), h0 AS (SELECT seed, seed AS node, 0 AS hop FROM s), h1 AS (SELECT DISTINCT seed, dst AS node, 1 AS hop FROM h0 JOIN d ON node = src),
+    start = _G if direction != "in" else f"WITH e AS ({EDGES}), s AS ({ENDS})"
+    return f"""{start}, d AS (SELECT DISTINCT src, dst FROM ({d})), h0 AS (SELECT seed, seed AS node, 0 AS hop FROM s), h1 AS (SELECT DISTINCT seed, dst AS node, 1 AS hop FROM h0 JOIN d ON node = src),
  h2 AS (SELECT DISTINCT seed, dst AS node, 2 AS hop FROM h1 JOIN d ON node = src), k AS (SELECT seed, node, min(hop) AS hop FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY ALL)"""
 
 
@@ -41,7 +46,7 @@ for _d in ("out", "in", "both"):
 
     @query(f"khop_{_d}", f"{_khop(_d)} SELECT * FROM k")
     def khop(t, d=_d):
-        return graph.khop(t.derived(EDGES), t.derived(SEEDS), 2, d)
+        return graph.khop(t.derived(EDGES), t.derived(ENDS if d == "in" else SEEDS), 2, d)
 
 
 @query("slice_edges", f"{_khop('out')} SELECT k.seed, e.src, e.dst, e.edge_type FROM e JOIN k ON e.src = k.node JOIN k b ON e.dst = b.node AND b.seed = k.seed")
@@ -55,9 +60,9 @@ def slice_namespaces(t):
     return graph.ancestors(t.derived(NODES), "ns_path").groupBy(F.col("ancestor").alias("namespace")).agg(F.first(F.size(F.split("ancestor", r"\."))).alias("level"), F.count("*").alias("nodes"))
 
 
-@query("typed_propagation", f"""{_G}, d AS (SELECT src, dst, max({_PRIOR}) AS p FROM (SELECT src, dst, edge_type FROM e UNION ALL SELECT dst, src, edge_type FROM e) GROUP BY ALL),
- h1 AS (SELECT seed, dst AS node, max(p) AS carry FROM s JOIN d ON seed = src WHERE dst <> seed GROUP BY ALL), h2 AS (SELECT seed, dst AS node, max(carry * p * 0.82::DOUBLE) AS carry FROM h1 JOIN d ON node = src WHERE dst <> seed GROUP BY ALL)
- SELECT seed, node, round(max(carry), 9) AS score, arg_max(hop, carry)::INT AS hop FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 AS hop FROM h2) GROUP BY ALL""")
+@query("typed_propagation", f"""{_G}, d AS (SELECT src, dst, max(p) AS p, first(edge_type ORDER BY p DESC, edge_type) AS via FROM (SELECT *, {_PRIOR} AS p FROM (SELECT src, dst, edge_type FROM e UNION ALL SELECT dst, src, edge_type FROM e)) GROUP BY src, dst),
+ h1 AS (SELECT seed, dst AS node, p AS carry, via FROM s JOIN d ON seed = src WHERE dst <> seed), h2 AS (SELECT seed, dst AS node, max(x) AS carry, first(via ORDER BY x DESC, via) AS via FROM (SELECT seed, dst, carry * p * 0.82::DOUBLE AS x, d.via FROM h1 JOIN d ON node = src WHERE dst <> seed) GROUP BY ALL)
+ SELECT seed, node, round(max(carry), 9) AS score, first(hop ORDER BY carry DESC, hop)::INT AS hop, first(via ORDER BY carry DESC, hop) AS via FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 AS hop FROM h2) GROUP BY ALL""")
 def typed_propagation(t):
     return graph.propagate(t.derived(EDGES), t.derived(SEEDS), 2).withColumn("score", F.round("score", 9))
 
@@ -80,11 +85,6 @@ def pagerank_5(t):
     return _ranks(t, 5).withColumn("rank", F.round("rank", 9))
 
 
-@query("pagerank_30_mass", f"{_pagerank(1)} SELECT 1.0::DOUBLE AS mass, count(*)::BIGINT AS nodes FROM r1")
-def pagerank_30_mass(t):
-    return _ranks(t, 30).agg(F.round(F.sum("rank"), 6).alias("mass"), F.count("*").alias("nodes"))
-
-
 @query("pr_cap", f"{_pagerank(2)} SELECT round(rank, 9) AS cap FROM (SELECT rank, row_number() OVER (ORDER BY rank DESC) AS k, count(*) OVER () AS n FROM r2) WHERE k = (n // 10) + 1")
 def pr_cap(t):
     return graph.rank_cap(_ranks(t, 2)).withColumn("cap", F.round("cap", 9))
@@ -100,6 +100,11 @@ def pagerank_30(t):
     return _ranks(t, ITERATIONS).withColumn("rank", F.round("rank", 9))
 
 
+@query("pagerank_30_mass", f"{_R30} SELECT round(sum(rank), 6) AS mass, count(*)::BIGINT AS nodes, round(sum(rank * rank), 9) AS squares FROM r30")
+def pagerank_30_mass(t):
+    return _ranks(t, ITERATIONS).agg(F.round(F.sum("rank"), 6).alias("mass"), F.count("*").alias("nodes"), F.round(F.sum(F.col("rank") * F.col("rank")), 9).alias("squares"))
+
+
 @query("pr_cap_30", f"{_R30} SELECT round(rank, 9) AS cap FROM (SELECT rank, row_number() OVER (ORDER BY rank DESC) AS k, count(*) OVER () AS n FROM r30) WHERE k = (n // 10) + 1")
 def pr_cap_30(t):
     return graph.rank_cap(_ranks(t, ITERATIONS)).withColumn("cap", F.round("cap", 9))
@@ -187,3 +192,18 @@ def lww_merge(t):
 def twopset_elements(t):
     log = t.derived(LOG)
     return crdt.two_phase(log.filter("op = 'add'").select("elem", "replica"), log.filter("op = 'remove'").select("elem", "replica"))
+
+
+_CHANGES = "SELECT vec_id % 97 AS id, vec_id AS seq, vec_id % 5 = 0 AS gone, x, y, w, h FROM (SELECT vec_id, {0} AS x, {1} AS y, {2} AS w, {3} AS h FROM embeddings) c WHERE vec_id % 3 = 0"
+
+
+def _changes(parts):
+    return _CHANGES.format(*[f"CAST({p} AS DOUBLE)" for p in parts])
+
+
+_CH = _changes([f"embedding[{k}]" for k in (1, 2, 3, 4)])
+
+
+@query("rect_upsert", f"WITH r AS ({_R}), l AS (SELECT id, max(seq) AS seq FROM ({_CH}) GROUP BY id), c AS (SELECT c.* FROM ({_CH}) c JOIN l USING (id, seq)) SELECT id, x, y, w, h FROM r WHERE id NOT IN (SELECT id FROM c) UNION ALL SELECT id, x, y, w, h FROM c WHERE NOT gone")
+def rect_upsert(t):
+    return spatial.upsert(_rects(t), t.derived(_changes([f"element_at(embedding, {k})" for k in (1, 2, 3, 4)])))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import itertools
 import os
 import re
 
@@ -16,8 +17,9 @@ from ..functions import paths
 #: A folder with one of these is a virtual environment.
 MARKERS = ("pyvenv.cfg", "Lib/site-packages", "Scripts/activate", "bin/activate")
 MOST_SYMBOLS, MOST_CALLS, MOST_LITERALS = 32, 128, 64
-_LITERAL = re.compile(r"""["']([a-z_][\w]*(?:\.[A-Za-z_]\w*)+)["']""")
-_OPERATIONS = "AddConstraint AddField AddIndex AlterField AlterIndexTogether AlterModelManagers AlterModelOptions AlterModelTable AlterOrderWithRespectTo AlterUniqueTogether CreateModel DeleteModel RemoveConstraint RemoveField RemoveIndex RenameField RenameIndex RenameModel RunPython RunSQL".split()
+_LITERAL = re.compile(r"""["']([a-z_][a-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)["']""")
+_BROKEN = (SyntaxError, ValueError, RecursionError, MemoryError)
+_OPERATIONS = frozenset(f"{verb}{what}" for verb, things in {"Create": "Model", "Delete": "Model", "Add": "Field Index Constraint", "Remove": "Field Index Constraint", "Rename": "Field Model", "Alter": "Field ModelOptions ModelManagers ModelTable UniqueTogether IndexTogether OrderWithRespectTo", "Run": "Python SQL", "Separate": "DatabaseAndState"}.items() for what in things.split())
 
 
 class SourceFiles(DataSource):
@@ -72,11 +74,27 @@ def symbols(content: Column) -> Column:
 
 
 def imports(content: Column) -> Column:
-    """Modules and names that lines import: M and M.name of from-imports."""
-    plain = F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*import[ \t]+([A-Za-z_][\w.]*)"), F.lit(1))
-    froms = F.arrays_zip(F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*from[ \t]+([A-Za-z_][\w.]*)[ \t]+import[ \t]+([^\n#]+)"), F.lit(1)).alias("m"), F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*from[ \t]+([A-Za-z_][\w.]*)[ \t]+import[ \t]+([^\n#]+)"), F.lit(2)).alias("n"))
-    names = F.flatten(F.transform(froms, lambda f: F.concat(F.array(f["m"]), F.transform(F.filter(F.transform(F.split(F.regexp_replace(f["n"], "[()*]", ""), ","), lambda x: F.regexp_replace(F.trim(x), r"\s+as\s+.*$", "")), lambda x: x != ""), lambda x: F.concat(f["m"], F.lit("."), x)))))
-    return F.array_distinct(F.concat(plain, names))
+    """Modules and names that lines import: M and M.name of from-imports. A name after an opening bracket and a blank is overlooked."""
+    plain = F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*import[ \t]+([A-Za-z_][A-Za-z0-9_.]*)"), F.lit(1))
+    lines = F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*from[ \t]+[A-Za-z_][A-Za-z0-9_.]*[ \t]+import[ \t]+[^\n]+"), F.lit(0))
+    module = lambda x: F.regexp_extract(x, r"^[ \t]*from[ \t]+([A-Za-z_][A-Za-z0-9_.]*)", 1)
+    pieces = lambda x: F.split(F.regexp_replace(F.regexp_extract(x, r"[ \t]import[ \t]+([^\n]+)$", 1), "#.*$", ""), ",")
+    first = lambda x: F.regexp_extract(x, r"^\s*(\S+)", 1)
+    names = lambda x: F.filter(F.transform(pieces(x), lambda y: F.regexp_replace(first(y), r"^[()]+|[()]+$", "")), lambda y: (y != "") & (y != "*"))
+    froms = F.flatten(F.transform(lines, lambda x: F.concat(F.array(module(x)), F.transform(names(x), lambda y: F.concat(module(x), F.lit("."), y)))))
+    return F.array_distinct(F.concat(plain, froms))
+
+
+def line_imports(content: str) -> list[str]:
+    """The same for one text."""
+    out = dict.fromkeys(re.findall(r"(?m)^[ \t]*import[ \t]+([A-Za-z_][A-Za-z0-9_.]*)", content))
+    for module, names in re.findall(r"(?m)^[ \t]*from[ \t]+([A-Za-z_][A-Za-z0-9_.]*)[ \t]+import[ \t]+([^\n]+)", content):
+        out[module] = None
+        for piece in names.partition("#")[0].split(","):
+            name = (piece.split() or [""])[0].strip("()")
+            if name not in ("", "*"):
+                out[f"{module}.{name}"] = None
+    return list(out)
 
 
 def _dotted(node: ast.AST) -> str | None:
@@ -88,56 +106,75 @@ def _dotted(node: ast.AST) -> str | None:
 
 
 def references(content: str) -> list[tuple[str, str]]:
-    """(edge type, target): imports, bases, calls of imported names, dotted literals; of what doesn't parse the imports that lines show."""
+    """(edge type, target): imports, bases, calls of imported names or of their attributes (the name is the target), dotted literals;
+    of what doesn't parse the imports that lines show. Relative imports without a module have no target."""
     content = content or ""
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError):
-        return [("import", m) for m in dict.fromkeys(re.findall(r"(?m)^[ \t]*(?:import|from)[ \t]+([A-Za-z_][\w.]*)", content))]
+    except _BROKEN:
+        return [("import", m) for m in line_imports(content)]
     out: dict[tuple[str, str], None] = {}
     known: set[str] = set()
-    for node in ast.walk(tree):
+    nodes = list(ast.walk(tree))
+    for node in nodes:
         if isinstance(node, ast.Import):
             for a in node.names:
                 out["import", a.name] = None
-                known.add((a.asname or a.name).split(".")[0])
+                known.add(a.name.rpartition(".")[2])
         elif isinstance(node, ast.ImportFrom) and node.module:
             out["import", node.module] = None
             for a in node.names:
-                if a.name != "*":
-                    out["import", f"{node.module}.{a.name}"] = None
-                    known.add(a.asname or a.name)
+                out["import", f"{node.module}.{a.name}"] = None
+                known.add(a.name)
+        elif isinstance(node, ast.ClassDef):
+            out.update({("inherit", name): None for base in node.bases if (name := _dotted(base))})
     calls = 0
-    for node in ast.walk(tree):
-        if isinstance(node, ast.ClassDef):
-            for base in node.bases:
-                if name := _dotted(base):
-                    out["inherit", name] = None
-        elif isinstance(node, ast.Call) and calls < MOST_CALLS and (name := _dotted(node.func)) and name.split(".")[0] in known:
-            calls += 1
-            out["call", name] = None
-    for m in list(_LITERAL.finditer(content))[:MOST_LITERALS]:
+    for node in nodes:
+        if isinstance(node, ast.Call) and calls < MOST_CALLS:
+            head = node.func.value if isinstance(node.func, ast.Attribute) else node.func
+            if isinstance(head, ast.Name) and head.id in known:
+                calls += 1
+                out["call", head.id] = None
+    for m in itertools.islice(_LITERAL.finditer(content), MOST_LITERALS):
         out["config-ref", m[1]] = None
     return list(out)
 
 
+def top_symbols(content: str) -> list[str]:
+    """Names of top-level classes and functions; the first 32."""
+    try:
+        tree = ast.parse(content or "")
+    except _BROKEN:
+        return []
+    return list(dict.fromkeys(n.name for n in tree.body if isinstance(n, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef))))[:MOST_SYMBOLS]
+
+
+def module_imports(content: str) -> list[str]:
+    """What a file really imports, for verification: modules, and their names; nothing of what doesn't parse."""
+    try:
+        nodes = list(ast.walk(ast.parse(content or "")))
+    except _BROKEN:
+        return []
+    plain = [a.name for n in nodes if isinstance(n, ast.Import) for a in n.names]
+    froms = [m for n in nodes if isinstance(n, ast.ImportFrom) and n.module for m in (n.module, *(f"{n.module}.{a.name}" for a in n.names))]
+    return list(dict.fromkeys(plain + froms))
+
+
 def migrations(content: str) -> list[str]:
     """Lower-cased models and apps that a migration's operations and dependencies name."""
     try:
-        tree = ast.parse(content or "")
-    except (SyntaxError, ValueError):
+        nodes = list(ast.walk(ast.parse(content or "")))
+    except _BROKEN:
         return []
     out: dict[str, None] = {}
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Call) and (_dotted(node.func) or "").split(".")[-1] in _OPERATIONS:
-            values = [k.value for k in node.keywords if k.arg in ("model_name", "name")] + node.args[:1]
-            for v in values:
-                if isinstance(v, ast.Constant) and isinstance(v.value, str):
-                    out[v.value.lower()] = None
-        elif isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "dependencies" for t in node.targets) and isinstance(node.value, (ast.List, ast.Tuple)):
-            for e in node.value.elts:
-                if isinstance(e, ast.Tuple) and e.elts and isinstance(e.elts[0], ast.Constant):
-                    out[str(e.elts[0].value).lower()] = None
+    for node in nodes:
+        if isinstance(node, ast.Call):
+            name = node.func.attr if isinstance(node.func, ast.Attribute) else getattr(node.func, "id", "")
+            if name in _OPERATIONS:
+                values = [k.value for k in node.keywords if k.arg in ("model_name", "name")] + node.args[:1]
+                out.update({str(v.value).lower(): None for v in values if isinstance(v, ast.Constant)})
+        elif isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "dependencies" for t in node.targets) and isinstance(node.value, ast.List):
+            out.update({str(e.elts[0].value).lower(): None for e in node.value.elts if isinstance(e, ast.Tuple) and e.elts and isinstance(e.elts[0], ast.Constant)})
     return list(out)
 
 
@@ -145,17 +182,16 @@ def spans(content: str) -> list[tuple[str, int, int]]:
     """(symbol, first line, last line) of classes, functions and methods, these also without their class if the name is free."""
     try:
         tree = ast.parse(content or "")
-    except (SyntaxError, ValueError):
+    except _BROKEN:
         return []
     out: dict[str, tuple[int, int]] = {}
-    kinds = (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)
+    functions = (ast.FunctionDef, ast.AsyncFunctionDef)
     for node in tree.body:
-        if isinstance(node, kinds):
+        if isinstance(node, (ast.ClassDef, *functions)):
             out[node.name] = node.lineno, node.end_lineno
-    for node in tree.body:
         if isinstance(node, ast.ClassDef):
             for m in node.body:
-                if isinstance(m, kinds[1:]):
+                if isinstance(m, functions):
                     out[f"{node.name}.{m.name}"] = m.lineno, m.end_lineno
                     out.setdefault(m.name, (m.lineno, m.end_lineno))
     return [(k, *v) for k, v in out.items()]
@@ -182,21 +218,57 @@ def edit(content: str, locator: str, old: str, new: str) -> str | None:
     return "".join(lines[: at[0] - 1]) + scope.replace(old, new) + "".join(lines[at[1] :])
 
 
-def snippet(content: str, terms: list[str], line: int | None, most: int = 80) -> tuple[int, int, str]:
-    """(first line, last line, code): the best symbol for the terms, else around the line, else the head; (0, 0, "") of nothing."""
-    lines = (content or "").splitlines()
+def _window(low: int, high: int, focus: int, most: int) -> tuple[int, int]:
+    """So many lines at most around the focus, within the bounds."""
+    if high - low < most:
+        return low, high
+    a = max(low, focus - most // 2)
+    b = min(high, a + most - 1)
+    return max(low, b - most + 1), b
+
+
+def snippet(path: str, content: str, terms: list[str], words: list[str], frames: list[tuple[str, int]], most: int, lines_at: tuple[int, int] | None = None) -> tuple[str, str]:
+    """(label, numbered code): the symbol that terms and words speak for most, else around a frame's line, else the declared lines, else
+    the head. frames: (path, line) of a trace; those of other files don't count."""
+    name, lines = path.replace("\\", "/").rpartition("/")[2], (content or "").splitlines()
     if not lines:
-        return 0, 0, ""
-    low = [t.lower() for t in terms]
-    best = max(((10 * (s.lower() in low) + 6 * any(t.split(".")[-1] == s.lower().split(".")[-1] for t in low), -i, a, b) for i, (s, a, b) in enumerate(spans(content))), default=(0, 0, 0, 0))
-    if best[0]:
-        a, b = best[2], best[3]
-    elif line:
-        a, b = max(1, line - most // 2), line + most // 2
-    else:
-        a, b = 1, most
-    a, b = min(a, len(lines)), min(b, len(lines), a + most - 1)
-    return a, b, "\n".join(lines[a - 1 : b])
+        return f"{name}:0-0 (empty-file)", ""
+    show = lambda a, b, why: (f"{name}:{a}-{b} ({why})", "\n".join(f"{i}: {lines[i - 1]}" for i in range(a, b + 1)))
+    low, high = 1, len(lines)
+    if lines_at:
+        low, high = max(1, min(lines_at)), min(high, max(lines_at))
+    inside = [(s, max(a, low), min(b, high)) for s, a, b in spans(content) if not lines_at or not (b < low or a > high)]
+    best, top = None, 0
+    for symbol, a, b in inside:
+        own, value = symbol.lower(), 0
+        for t in (x.lower() for x in terms):
+            whole = t == own or t.endswith("." + own) or own.endswith("." + t)
+            value += 10 if whole else 6 if t.rpartition(".")[2] == own.rpartition(".")[2] else 0
+        value += sum(w in own for w in words)
+        if value > top:
+            best, top = (symbol, a, b), value
+    if best:
+        symbol, a, b = best
+        size = b - a + 1
+        pad = max(3, (min(most, max(12, size + 10)) - size) // 2)
+        x, y = max(low, a - pad), min(high, b + pad)
+        return show(*((x, y) if y - x < most else _window(low, high, a, most)), symbol)
+    for file, line in frames:
+        if (paths.match(path, file) or paths.match(name, file)) and low <= line <= high:
+            return show(*_window(low, high, line, most), f"trace-line {line}")
+    return show(low, min(high, low + most - 1), "declared-lines" if lines_at else "file-head")
+
+
+def snippets(wanted: DataFrame) -> DataFrame:
+    """wanted (query_id, node_id, path, content, terms, words, frames, line_start, line_end, most) as (query_id, node_id, label, code)."""
+
+    def run(frames):
+        for f in frames:
+            rows = [snippet(r.path, r.content, list(r.terms), list(r.words), [(x["path"], int(x["line"])) for x in r.frames], int(r.most), None if pd.isna(r.line_start) else (int(r.line_start), int(r.line_end))) for r in f.itertuples()]
+            yield pd.DataFrame({"query_id": f.query_id, "node_id": f.node_id, "label": [x for x, _ in rows], "code": [x for _, x in rows]})
+
+    kinds = {x.name: x.dataType.simpleString() for x in wanted.schema}
+    return wanted.mapInPandas(run, f"query_id {kinds['query_id']}, node_id {kinds['node_id']}, label string, code string")
 
 
 def _each(sources: DataFrame, f, schema: str) -> DataFrame:
@@ -221,14 +293,14 @@ def symbol_spans(sources: DataFrame) -> DataFrame:
     return _each(sources, spans, "symbol string, line_start long, line_end long")
 
 
-def resolve(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """refs (path, edge_type, target) with the file of the module that the target names: exact, else a symbol's file (of bases and
-    calls), else the longest dotted head. files: (path, module, symbols). Unresolved and own references are left out."""
-    parts = F.split("target", r"\.")
-    heads = refs.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("n", "head")).withColumn("whole", F.col("head") == F.col("target"))
-    modules = files.groupBy("module").agg(F.min("path").alias("file"))
-    one = heads.join(modules, F.col("head") == F.col("module")).select("path", "edge_type", "target", "file", F.when(F.col("whole"), 0).otherwise(2).alias("rank"), (-F.col("n")).alias("n"))
-    owners = files.select(F.explode("symbols").alias("symbol"), "path").groupBy("symbol").agg(F.min("path").alias("file"))
-    two = refs.filter(F.col("edge_type").isin("inherit", "call")).withColumn("symbol", F.element_at(parts, -1)).join(owners, "symbol").select("path", "edge_type", "target", "file", F.lit(1).alias("rank"), F.lit(0).alias("n"))
-    best = one.unionByName(two).groupBy("path", "edge_type", "target").agg(F.min(F.struct("rank", "n", "file")).alias("m"))
-    return best.select("path", "edge_type", "target", F.col("m.file").alias("file")).filter("file <> path")
+def facts(sources: DataFrame) -> DataFrame:
+    """sources (path, content) with (symbols, refs, migrations, spans, mods): all that syntax tells, read in one pass."""
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({
+                "path": f.path, "symbols": [top_symbols(c) for c in f.content], "refs": [[{"edge_type": k, "target": t} for k, t in references(c)] for c in f.content], "migrations": [migrations(c) for c in f.content],
+                "spans": [sorted({s.lower() for s, _, _ in spans(c)}) for c in f.content], "mods": [module_imports(c) for c in f.content],
+            })
+
+    return sources.select("path", "content").mapInPandas(run, "path string, symbols array<string>, refs array<struct<edge_type: string, target: string>>, migrations array<string>, spans array<string>, mods array<string>")

@@ -66,17 +66,21 @@ def free():
 
 
 def test_references_spans_edits_and_snippets():
-    assert code.references(SOURCE) == [("import", "os"), ("import", "app.models"), ("import", "app.models.Base"), ("import", "app.models.helper"), ("inherit", "Base"), ("inherit", "app.Mixin"), ("call", "h"), ("config-ref", "conf.settings.value")]
+    assert code.references(SOURCE) == [("import", "os"), ("import", "app.models"), ("import", "app.models.Base"), ("import", "app.models.helper"), ("inherit", "Base"), ("inherit", "app.Mixin"), ("config-ref", "conf.settings.value")]
     assert code.references("def (:\nimport x.y") == [("import", "x.y")]
     assert code.references(None) == []
-    assert code.spans(SOURCE) == [("Child", 4, 6), ("free", 8, 9), ("Child.go", 5, 6), ("go", 5, 6)]
+    assert code.spans(SOURCE) == [("Child", 4, 6), ("Child.go", 5, 6), ("go", 5, 6), ("free", 8, 9)]
     assert code.locate(SOURCE, "go") == (5, 6) and code.locate(SOURCE, "absent") is None
     assert code.edit(SOURCE, "free", "return 1", "return 2").endswith("return 2\n")
     assert code.edit(SOURCE, "Child.go", "return 1", "x") is None
     assert code.edit(SOURCE, "Child", "e", "x") is None
-    assert code.snippet(SOURCE, ["free"], None) == (8, 9, "def free():\n    return 1")
-    assert code.snippet(SOURCE, [], 5, 2)[:2] == (4, 5)
-    assert code.snippet("", ["free"], 3) == (0, 0, "")
+    assert code.references("import a.b\nfrom c import d\na.x(1)\nb.y(2)\nd(3)\nd.e.f(4)")[-2:] == [("call", "b"), ("call", "d")]
+    assert code.snippet("p/m.py", SOURCE, ["free"], [], [], 80) == ("m.py:3-9 (free)", "\n".join(f"{i}: {x}" for i, x in enumerate(SOURCE.splitlines(), 1) if i > 2))
+    assert code.snippet("p/m.py", SOURCE, [], [], [("other.py", 2), ("m.py", 5)], 2)[0] == "m.py:4-5 (trace-line 5)"
+    assert code.snippet("p/m.py", SOURCE, [], [], [], 3, (4, 9))[0] == "m.py:4-6 (declared-lines)"
+    assert code.snippet("p/m.py", SOURCE, [], [], [], 3)[0] == "m.py:1-3 (file-head)"
+    assert code.snippet("p/m.py", "", ["free"], [], [], 3, (1, 1)) == ("m.py:0-0 (empty-file)", "")
+    assert code.line_imports("from m import ( a, b\nfrom n import (c), d as e # x\nimport q.r as z\nfrom . import y") == ["q.r", "m", "m.b", "n", "n.c", "n.d"]
     migration = "dependencies = [('Auth', '0001')]\nx = [migrations.AddField(model_name='Book', name='title'), migrations.RunSQL('select')]"
     assert code.migrations(migration) == ["auth", "book", "title", "select"]
 
