@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import math
+import secrets
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, cut, lowered, mix, pieces, record
+from .common import Tokens, cut, lowered, mix, pieces, raw, record
 
 ORDER = 3
-LEAST = (1, 1, 1)  # count from which on an n-gram of 1, 2, 3 tokens is kept
 BASE = 1.5  # counts are told apart by powers of it
 WEIGHTS = (0.1, 0.3, 0.6)  # of the orders 1, 2, 3 in the interpolation
 FLOOR = 1.0  # added to the count of every word
 BITS_PER_ENTRY, PROBE_BITS = 16, 5
-#: Filters are broadcast up to so many bytes; beyond, the documents' n-grams go to the filter's slices.
-BROADCAST_BYTES = 512 << 20
-SLICE_TOKENS = 1_000_000  # tokens of the corpus for each slice of the filter
-MOST_SLICES = 1 << 14
-_HELD = 1_500_000  # tokens whose n-grams a task holds before it hands them on
+#: Filters are broadcast up to so many bytes, of which every worker holds a copy; beyond, the documents' n-grams go to the
+#: filter's slices, and their levels come back.
+BROADCAST_BYTES = 8 << 20
+SLICE_BYTES = 6_000_000  # of the corpus for each slice of the filter
+MOST_SLICES = 1 << 17
+PART_BYTES = 8 << 20  # of texts whose n-grams are counted together; a longer text is a part of its own
 
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1], np.uint64)
 LEVELS = 1 + int(math.log(2**62, BASE))
@@ -34,10 +36,6 @@ def quantise(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-#: Levels of n-grams of 1, 2, 3 tokens begin at that of LEAST: lower ones would tell nothing.
-OFFSET = tuple(int(quantise(np.array([c]))[0]) - 1 for c in LEAST)
-
-
 def ngrams(tok: Tokens) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each order: the place of each n-gram's last token, and its hash. N-grams lie within a text."""
     out, h = [], tok.hash
@@ -82,36 +80,58 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.add.reduceat(parts, first), dtype=np.uint64)
 
 
-def _gather(slices: int):
-    """N-grams of the texts of a task, counted, as (slice, order, packed hashes, packed counts)."""
+def _parts(batches):
+    """Rows of about PART_BYTES of texts, packed: (part, blob). Numbers of parts are random, and so distinct; they are written before use."""
+    held, size = [], 0
+
+    def hand_on():
+        table = pa.Table.from_batches(held)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table.combine_chunks())
+        return record("part blob", pa.array([secrets.randbits(62)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()))
+
+    for batch in pieces(batches):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if size >= PART_BYTES:
+            yield hand_on()
+            held, size = [], 0
+    if held:
+        yield hand_on()
+
+
+def _unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(blob)).read_all().combine_chunks()
+
+
+def _part_grams(table: pa.Table) -> tuple[Tokens, list[tuple[np.ndarray, np.ndarray]]]:
+    """The tokens of a part, and of each order the places and hashes of its n-grams."""
+    text = table.column("text")
+    data, offsets = raw(pc.utf8_lower(pc.fill_null(text.chunk(0) if text.num_chunks else pa.array([], pa.string()), "")))
+    tok = Tokens(data, offsets)
+    return tok, ngrams(tok)
+
+
+def _gather(slices: int, counts: bool, asks: bool):
+    """The distinct n-grams of each part, as (slice, part, gram, packed hashes, packed counts). Without counts they are only asked for;
+    where nothing is asked, part is -1."""
 
     def run(batches):
-        held: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
-        tokens = 0
-
-        def hand_on():
-            for k, own in enumerate(held):
-                h = np.sort(np.concatenate([np.zeros(0, np.uint64), *own]))
-                own.clear()
-                if not len(h):
-                    continue
-                edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                counts = np.diff(np.append(edge, len(h)))
-                h = h[edge] >> np.uint64(16)  # 48 bits
-                bounds = np.searchsorted(slices_of(h << np.uint64(16), slices), np.arange(slices + 1))
-                some = np.flatnonzero(np.diff(bounds))
-                sums = [np.cumsum(counts[a:b], dtype=np.uint64) for a, b in zip(bounds[some], bounds[some + 1])]
-                yield record("slice gram grams counts", some, pa.array(np.full(len(some), k), pa.int32()), pa.array([pack(h[a:b]) for a, b in zip(bounds[some], bounds[some + 1])], pa.binary()), pa.array([pack(s) for s in sums], pa.binary()))
-
-        for batch in pieces(batches):
-            tok = Tokens(*lowered(batch))
-            for own, (_, h) in zip(held, ngrams(tok)):
-                own.append(h)
-            tokens += len(tok.hash)
-            if tokens >= _HELD:
-                yield from hand_on()
-                tokens = 0
-        yield from hand_on()
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob")):
+                _, grams = _part_grams(_unpacked(blob.as_buffer()))
+                for k, (_, h) in enumerate(grams):
+                    h = np.sort(h >> np.uint64(16))  # 48 bits
+                    if not len(h):
+                        continue
+                    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                    n = np.diff(np.append(edge, len(h))) if counts else np.zeros(len(edge), np.int64)
+                    h = h[edge]
+                    bounds = np.searchsorted(slices_of(h << np.uint64(16), slices), np.arange(slices + 1))
+                    some = np.flatnonzero(np.diff(bounds))
+                    spans = list(zip(bounds[some], bounds[some + 1]))
+                    yield record("slice part gram grams counts", some, pa.array(np.full(len(some), part if asks else -1), pa.int64()), pa.array(np.full(len(some), k), pa.int32()), pa.array([pack(h[a:b]) for a, b in spans], pa.binary()), pa.array([pack(np.cumsum(n[a:b], dtype=np.uint64)) for a, b in spans], pa.binary()))
 
     return run
 
@@ -133,12 +153,13 @@ def _word(entry: np.ndarray, words: np.ndarray | int) -> np.ndarray:
     return ((entry >> np.uint64(32)) * np.asarray(words).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
-def _fill(key, table):
-    """One slice of the filter: every kept n-gram at all levels from 1 to its own."""
-    grams = [(k, unpack(g), np.diff(unpack(c), prepend=np.uint64(0))) for k, g, c in zip(table.column("gram").to_pylist(), table.column("grams").to_pylist(), table.column("counts").to_pylist())]
+def _slice(table: pa.Table) -> tuple[np.ndarray, int, int, list[tuple[int, int, np.ndarray]]]:
+    """One slice of the filter from its rows: bits, in which every n-gram is at all levels from 1 to its own; tokens and distinct words;
+    and what each row holds, as (part, order, hashes)."""
+    rows = [(p, k, unpack(g), np.diff(unpack(c), prepend=np.uint64(0))) for p, k, g, c in zip(*(table.column(x).to_pylist() for x in ("part", "gram", "grams", "counts")))]
     entries, tokens, kinds = [], 0, 0
     for k in range(ORDER):
-        own = [(g, c) for o, g, c in grams if o == k]
+        own = [(g, c) for _, o, g, c in rows if o == k]
         if not own:
             continue
         g, c = (np.concatenate(x) for x in zip(*own))
@@ -146,19 +167,42 @@ def _fill(key, table):
         g = g[order]
         edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         c, g = np.add.reduceat(c[order], edge), g[edge]
+        g, c = g[c > 0], c[c > 0]
         if k == 0:
             tokens, kinds = int(c.sum()), len(g)
-        keep = c >= LEAST[k]
-        level = quantise(c[keep]) - OFFSET[k]
-        h = np.repeat(g[keep] << np.uint64(16), level)
+        level = quantise(c)
+        h = np.repeat(g << np.uint64(16), level)
         entries.append(_entry(h, np.arange(len(h)) - np.repeat(np.cumsum(level) - level, level) + 1))
     entries = np.concatenate([np.zeros(0, np.uint64), *entries])
     words = max(1, -(-len(entries) * BITS_PER_ENTRY // 64))
     bits = np.zeros(words, np.uint64)
     np.bitwise_or.at(bits, _word(entries, words), masks(entries))
+    return bits, tokens, kinds, [(p, k, g) for p, k, g, _ in rows]
+
+
+def _fill(key, table):
+    """One slice of the filter, to be broadcast."""
+    bits, tokens, kinds, _ = _slice(table)
     return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary()), "tokens": pa.array([tokens], pa.int64()), "kinds": pa.array([kinds], pa.int64())})
 
 
+def _answer(slices: int):
+    """The levels of all n-grams that parts ask one slice for, in their order; its first row has the slice's tokens and words."""
+
+    def run(key, table):
+        s = key[0].as_py()
+        bits, tokens, kinds, rows = _slice(table)
+        own, asked = Filter(slices, [(s, bits.tobytes())]), [r for r in rows if r[0] >= 0]
+        found = np.unique(np.concatenate([np.zeros(0, np.uint64), *[g for _, _, g in asked]]))
+        level = own.levels(found << np.uint64(16)).astype(np.uint8)  # each is probed once
+        out = [(p, k, level[np.searchsorted(found, g)].tobytes()) for p, k, g in asked]
+        n = len(out)
+        totals = [pa.array([x, *[0] * n], pa.int64()) for x in (tokens, kinds)]
+        return pa.table({"part": pa.array([-1, *[x[0] for x in out]], pa.int64()), "slice": pa.array(np.full(n + 1, s), pa.int64()), "gram": pa.array([-1, *[x[1] for x in out]], pa.int32()), "levels": pa.array([b"", *[x[2] for x in out]], pa.binary()), "tokens": totals[0], "kinds": totals[1]})
+
+    return run
+
+
 class Filter:
     """The slices of the log-frequency filter one after another."""
 
@@ -186,11 +230,22 @@ class Filter:
         return out
 
 
+_GRAMS = "slice long, part long, gram int, grams binary, counts binary"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) as a written table of parts."""
+    return cut(docs.mapInArrow(_parts, "part long, blob binary"))
+
+
+def slices_for(docs: DataFrame) -> int:
+    return min(MOST_SLICES, 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES)
+
+
 def train(docs: DataFrame) -> tuple[DataFrame, int, int, int]:
     """The filter's slices (slice, bits, tokens, kinds) as a written table, their number, and the corpus's tokens and distinct words."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = min(MOST_SLICES, 1 + size // (6 * SLICE_TOKENS))
-    counted = docs.select("text").mapInArrow(_gather(slices), "slice long, gram int, grams binary, counts binary")
+    slices = slices_for(docs)
+    counted = packed(docs.select("doc_id", "text")).mapInArrow(_gather(slices, True, False), _GRAMS)
     table = cut(counted.groupBy("slice").applyInArrow(_fill, "slice long, bits binary, tokens long, kinds long"))
     tokens, kinds = table.agg(F.sum("tokens"), F.sum("kinds")).first()
     return table, slices, tokens or 0, kinds or 0
@@ -203,7 +258,7 @@ def log_probabilities(level: list[np.ndarray], doc: np.ndarray, tokens: int, kin
     gives its weight to the next lower order. Words have FLOOR more, over all kinds and one unknown.
     """
     n = len(doc)
-    count = [np.where(x > 0, VALUE[x + OFFSET[k]], 0.0) for k, x in enumerate(level)]
+    count = [np.where(x > 0, VALUE[x], 0.0) for x in level]
     p = (count[0] + FLOOR) / (tokens + FLOOR * (kinds + 1))
     weight = np.full(n, WEIGHTS[0])
     for k in range(1, ORDER):
@@ -247,67 +302,58 @@ def _levels(tok: Tokens, look) -> list[np.ndarray]:
 def score(docs: DataFrame, corpus: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, n_tokens, unknown, log10_prob, perplexity) of every document, in place of its row, under a model of the corpus.
 
-    The model has the counts of all n-grams of up to ORDER tokens over the whole corpus (docs, if none is given), from
-    the count 1 on (LEAST); a count is kept as its level (1 for 1), by entries (n-gram, 1) ... (n-gram, level) in a Bloom filter, and read by
-    probes until one is absent. unknown: tokens that the model lacks. The filter is broadcast up to broadcast_bytes; a
-    larger one stays in slices, to which the documents' n-grams are sent.
+    The model has the counts of all n-grams of up to ORDER tokens over the whole corpus (docs, if none is given); a count is
+    kept as its level (1 for 1), by entries (n-gram, 1) ... (n-gram, level) in a Bloom filter, and read by probes until one is
+    absent. unknown: tokens that the model lacks. The filter is broadcast up to broadcast_bytes; a larger one stays in slices,
+    to which the documents' distinct n-grams are sent, part by part of the documents, and from which their levels come back.
 
     Null and empty texts, and those without a token, have 0 tokens and null scores. Rows without doc_id are scored and
     counted. Repeated rows are scored each and count each. An empty table gives no rows; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    table, slices, tokens, kinds = train(docs if corpus is None else corpus)
-    if (table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) > broadcast_bytes:
-        return _by_slices(docs, table, slices, tokens, kinds)
-    model = docs.sparkSession.sparkContext.broadcast(Filter(slices, [(r[0], bytes(r[1])) for r in table.select("slice", "bits").toLocalIterator()]))
-
-    def run(batches):
-        for batch in pieces(batches):
-            tok = Tokens(*lowered(batch))
-            yield _summed(batch.column("doc_id"), tok, _levels(tok, model.value.levels), tokens, kinds)
-
-    return docs.mapInArrow(run, _SCORES)
-
-
-def _by_slices(docs: DataFrame, table: DataFrame, slices: int, tokens: int, kinds: int) -> DataFrame:
-    """The same with a filter of any size: each document's n-grams are looked up where their slices are, and come back."""
-    docs = cut(docs.withColumn("uid", F.monotonically_increasing_id()))
-
-    def ask(batches):
-        for batch in pieces(batches):
-            tok = Tokens(*lowered(batch))
-            for _, h in ngrams(tok) if len(tok.hash) else []:
-                h = np.unique(h)
-                s = slices_of(h, slices)
-                yield record("slice gram", s, h.view(np.int64))
-
-    def answer(key, grams, part):
-        if not len(part):
-            return pa.table({"gram": pa.array([], pa.int64()), "level": pa.array([], pa.int32())})
-        s = key[0].as_py()
-        h = np.unique(grams.column("gram").to_numpy()).view(np.uint64)
-        level = Filter(slices, [(s, part.column("bits")[0].as_py())]).levels(h)
-        return pa.table({"gram": h[level > 0].view(np.int64), "level": pa.array(level[level > 0], pa.int32())})
-
-    known = cut(docs.mapInArrow(ask, "slice long, gram long").groupBy("slice").cogroup(table.groupBy("slice")).applyInArrow(answer, "gram long, level int"))
-
-    def own(batches):
-        for batch in pieces(batches):
-            tok = Tokens(*lowered(batch))
-            each = [(at, h) for at, h in ngrams(tok)] if len(tok.hash) else []
-            for at, h in each:
-                yield record("uid gram", batch.column("uid").take(pa.array(tok.doc[at])), h.view(np.int64))
-
-    levels = docs.mapInArrow(own, "uid long, gram long").distinct().join(known, "gram").groupBy("uid").agg(F.collect_list(F.struct("gram", "level")).alias("known"))
-
-    def run(batches):
-        for batch in pieces(batches):
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                pairs = row.column("known")[0].as_py() or []
-                found = {p["gram"]: p["level"] for p in pairs}
-                tok = Tokens(*lowered(row))
-                look = lambda h: np.array([found.get(x, 0) for x in h.view(np.int64).tolist()], np.int64)  # noqa: B023, E731
-                yield _summed(row.column("doc_id"), tok, _levels(tok, look), tokens, kinds)
-
-    return docs.join(levels, "uid", "left").select("doc_id", "text", "known").mapInArrow(run, _SCORES)
+    own = corpus is None
+    corpus = docs if own else corpus.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    slices = slices_for(corpus)
+    # Every token is an entry at least, but copies repeat them: whether a broadcast may fit is known only when the slices are filled.
+    if slices * SLICE_BYTES <= 4 * broadcast_bytes:
+        table, _, tokens, kinds = train(corpus)
+        if (table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= broadcast_bytes:
+            model = docs.sparkSession.sparkContext.broadcast(Filter(slices, [(r[0], bytes(r[1])) for r in table.select("slice", "bits").toLocalIterator()]))
+
+            def run(batches):
+                for batch in pieces(batches):
+                    tok = Tokens(*lowered(batch))
+                    yield _summed(batch.column("doc_id"), tok, _levels(tok, model.value.levels), tokens, kinds)
+
+            return docs.mapInArrow(run, _SCORES)
+    return _by_slices(docs, None if own else corpus, slices)
+
+
+def _by_slices(docs: DataFrame, corpus: DataFrame | None, slices: int) -> DataFrame:
+    """The same with a filter of any size, of which no task holds more than a slice."""
+    parts = packed(docs)
+    asked = parts.mapInArrow(_gather(slices, corpus is None, True), _GRAMS)
+    if corpus is not None:
+        asked = asked.unionByName(packed(corpus).mapInArrow(_gather(slices, True, False), _GRAMS))
+    answers = cut(asked.groupBy("slice").applyInArrow(_answer(slices), "part long, slice long, gram int, levels binary, tokens long, kinds long"))
+    tokens, kinds = answers.agg(F.sum("tokens"), F.sum("kinds")).first()
+
+    def run(key, part, found):
+        table = _unpacked(part.column("blob")[0].as_buffer())
+        tok, grams = _part_grams(table)
+        found = found.sort_by([("gram", "ascending"), ("slice", "ascending")]) if len(found) else found
+        which = found.column("gram").to_numpy()
+        blobs = found.column("levels")
+        out: list[np.ndarray] = []
+        for k, (at, h) in enumerate(grams):
+            level = np.zeros(len(tok.hash), np.int64)
+            # Slices go by the hash, so that their answers follow each other as the sorted hashes do.
+            own = np.frombuffer(b"".join(blobs[i].as_py() for i in np.flatnonzero(which == k).tolist()), np.uint8)
+            level[at] = own[np.unique(h >> np.uint64(16), return_inverse=True)[1]] if len(h) else 0
+            if k and len(at):
+                level[at[(out[k - 1][at] == 0) | (out[k - 1][at - 1] == 0)]] = 0  # as above: parts of it are unknown
+            out.append(level)
+        ids = table.column("doc_id")
+        return pa.Table.from_batches([_summed(ids.chunk(0) if ids.num_chunks else pa.array([], pa.int64()), tok, out, tokens or 0, kinds or 0)])
+
+    return parts.groupBy("part").cogroup(answers.filter("part >= 0").groupBy("part")).applyInArrow(run, _SCORES)

@@ -27,7 +27,7 @@ def brute(corpus, docs):
 
     def value(g):
         c = counts[len(g) - 1][g]
-        return lm.VALUE[1 + math.floor(math.log(c, lm.BASE) + 1e-9)] if c >= lm.LEAST[len(g) - 1] else 0.0
+        return lm.VALUE[1 + math.floor(math.log(c, lm.BASE) + 1e-9)] if c else 0.0
 
     out = []
     for t in docs:
@@ -65,9 +65,9 @@ def test_filter_never_loses_and_seldom_invents(spark):
     f = lm.Filter(slices, [(r.slice, bytes(r.bits)) for r in table.collect()])
     tok = Tokens(*lowered(record("text", texts)))
     assert tokens == len(tok.hash) and kinds == len(np.unique(tok.hash))
-    for k, (_, h) in enumerate(lm.ngrams(tok)):
+    for _, h in lm.ngrams(tok):
         g, c = np.unique(h, return_counts=True)
-        want = np.where(c >= lm.LEAST[k], lm.quantise(c) - lm.OFFSET[k], 0)
+        want = lm.quantise(c)
         have = f.levels(g)
         assert (have >= want).all()
         assert (have != want).mean() < 0.02
@@ -78,12 +78,24 @@ def test_filter_never_loses_and_seldom_invents(spark):
 def test_slices_make_no_difference(spark, monkeypatch):
     docs = make(spark, [(i, zipf(i)) for i in range(30)])
     one = sorted(map(tuple, lm.score(docs).collect()))
-    monkeypatch.setattr(lm, "SLICE_TOKENS", 500)
+    monkeypatch.setattr(lm, "SLICE_BYTES", 3000)
     many = sorted(map(tuple, lm.score(docs.repartition(5, "n_chars")).collect()))
     assert [r[:3] for r in one] == [r[:3] for r in many]
     assert sum(abs(a[3] - b[3]) < 0.02 * abs(a[3]) for a, b in zip(one, many)) >= 28
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_sliced_scores_equal_broadcast_ones(spark, monkeypatch, own):
+    monkeypatch.setattr(lm, "SLICE_BYTES", 3000)
+    docs = make(spark, [(i, zipf(i, 300)) for i in range(40)] + [(None, zipf(3)), (99, prose(3)), (98, None), (97, "")])
+    corpus = None if own else make(spark, [(i, zipf(i + 7, 200)) for i in range(60)])
+    # Part sizes reach workers with the functions, so they are small in both.
+    got = [sorted(lm.score(docs, corpus, broadcast_bytes=limit).collect(), key=repr) for limit in (lm.BROADCAST_BYTES, 0)]
+    assert len(got[0]) == 44
+    for a, b in zip(*got):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3]) if a[3] is not None else tuple(a) == tuple(b)
+
+
 def test_packed_numbers_come_back():
     rng = np.random.default_rng(4)
     for n in (0, 1, 5, 10_000):
@@ -107,7 +119,7 @@ def test_odd_rows(spark, odd, empty, limit):
     assert lm.score(odd, empty, broadcast_bytes=limit).count() == len(odd_rows())
 
 
-def test_ngrams_that_occur_once_are_kept(spark, monkeypatch):
+def test_ngrams_that_occur_once_are_kept(spark):
     texts = [prose(i, 150) for i in range(20)]
     corpus = make(spark, list(enumerate(texts)))
     table, slices, _, _ = lm.train(corpus)
@@ -115,6 +127,5 @@ def test_ngrams_that_occur_once_are_kept(spark, monkeypatch):
     for _, h in lm.ngrams(Tokens(*lowered(record("text", texts)))):
         assert (f.levels(h) >= 1).all()
     got = {r.doc_id: r.log10_prob for r in lm.score(corpus).collect()}
-    monkeypatch.setattr(lm, "LEAST", (1, 1, 1))
     for i, (n, s) in enumerate(brute(texts, texts)):
         assert abs(got[i] - s) < 0.05 * n  # false positives; without the counts of 1 a token is off by more than 1
