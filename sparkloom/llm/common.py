@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sides of joins by id are broadcast up to so many bytes (16 a row), and shuffled beyond.
@@ -23,9 +24,14 @@ _COUNT = itertools.count()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a new temporary one where none is set, which only local tests do."""
+    """This application's folder in spark.checkpoint.dir, or in the checkpoint folder of its context. Only a local master may go without:
+    its executors see the same disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and (set_ := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        folder = set_.get()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     own = f"{folder}/sparkloom-{uuid.UUID(int=hash(spark.sparkContext.applicationId) & (1 << 128) - 1).hex}"
@@ -62,11 +68,6 @@ def by_id(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", on: st
     return docs.join(side, docs[key] == side[on], how)
 
 
-def text_of(df: DataFrame, *columns: str) -> list[Column]:
-    """References that survive dots and other signs in names."""
-    return [df[f"`{c}`"] for c in columns]
-
-
 def filter_rows(docs: DataFrame, judge) -> DataFrame:
     """The rows of docs, of whatever columns, for which judge(record batch with doc_id and text) has true."""
     names = docs.columns
@@ -81,6 +82,16 @@ def filter_rows(docs: DataFrame, judge) -> DataFrame:
     return safe.mapInArrow(run, safe.schema).toDF(*names)
 
 
+def one_each(df: DataFrame, key: str) -> DataFrame:
+    """df with one row of each key, whose other columns follow from it; only rows of repeated keys are shuffled with all columns.
+
+    Rows without a key are left out.
+    """
+    df = df.filter(F.col(key).isNotNull())
+    twice = cut(df.groupBy(F.col(key).alias("__id")).count().filter("count > 1").select("__id"))
+    return by_id(df, twice, "left_anti", key).unionByName(by_id(df, twice, "left_semi", key).dropDuplicates([key]))
+
+
 def one_row_per_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs, with one row (the first by its values) of each repeated id; rows without an id all stay.
 

@@ -6,17 +6,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_id, cut, fits, lists, mix, pieces, raw, record, span_hashes
+from .common import by_id, cut, fits, lists, mix, one_each, pieces, raw, record, span_hashes
 
 SIZE = 64  # bytes of a feature
 POPULAR = 16  # of SIZE windows, in how many a feature must be the rarest
 LEVELS = 1001  # entropies are told apart in thousandths of the most
 FILTER_BITS, FILTER_FEATURES, PROBES = 2048, 160, 5
-FEWEST = 6  # features, below which the features themselves are compared, not the digests
+FEWEST = 16  # features, below which the features themselves are compared, as filters of so few bits overlap by chance
 SCORE = 21  # of 100, from which on a document is reported as similar
+QUERY_EVERY = 100  # documents whose ids it divides are compared with all
+CELL_BITS = 18  # features are ordered by how many documents have one of their cell
+SLACK = 0.1  # by so much less of the shorter one's features than their score stands for, documents still meet
 
 _F = np.concatenate([[0.0], np.arange(1, SIZE + 1) * np.log2(np.arange(1, SIZE + 1))])
 _GAIN = np.diff(_F, append=0.0)
@@ -99,11 +102,13 @@ def bloom(hashes: np.ndarray) -> bytes:
 def score(a: bytes, na: int, b: bytes, nb: int) -> int:
     """0 ... 100: the mean, over the filters of the digest with fewer, of the best normalised overlap with the other's; -1 if either has too few features.
 
-    Overlap: shared bits beyond those that chance gives, over the most that there could be.
+    Overlap: shared bits beyond those that chance gives, over the most that there could be. A last filter of fewer than FEWEST
+    features is left out: its few bits overlap by chance.
     """
     if min(na, nb) < FEWEST:
         return -1
-    x, y = (np.unpackbits(np.frombuffer(d, np.uint8)).reshape(-1, FILTER_BITS).astype(np.float32) for d in (a, b))
+    full = lambda n: max(1, n // FILTER_FEATURES + (n % FILTER_FEATURES >= FEWEST))
+    x, y = (np.unpackbits(np.frombuffer(d, np.uint8)).reshape(-1, FILTER_BITS)[: full(n)].astype(np.float32) for d, n in ((a, na), (b, nb)))
     if (len(x), na, a) > (len(y), nb, b):
         x, y = y, x
     both, ex, ey = x @ y.T, x.sum(1)[:, None], y.sum(1)[None, :]
@@ -149,59 +154,111 @@ def _same(content: bytes, kind: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(content, digest_size=8, person=kind).digest(), "big", signed=True)
 
 
-def compare(table: DataFrame) -> DataFrame:
-    """(a, b, score) of all distinct digests a < b of table that share a feature; only digests in pairs are shuffled."""
-    shared = table.select("same", F.explode("anchors").alias("key")).groupBy("key").agg(F.collect_set("same").alias("a")).filter("size(a) > 1")
-    pairs = cut(shared.withColumn("b", F.col("a")).withColumn("a", F.explode("a")).withColumn("b", F.explode("b")).filter("a < b").groupBy("a", "b").agg(F.count("*").cast("int").alias("shared")))
-    sides = []
-    for c in "ab":
-        ids = cut(pairs.select(F.col(c).alias("__id")).distinct())
-        sides.append(by_id(table, ids, "left_semi", "same").dropDuplicates(["same"]).select(F.col("same").alias(c), F.col("digest").alias(f"digest_{c}"), F.col("n_features").alias(f"n_{c}")))
+def cells(classes: DataFrame) -> np.ndarray:
+    """How many features of all classes are in each cell of their hashes; 2**CELL_BITS numbers, whatever the input."""
+    found = np.zeros(1 << CELL_BITS, np.int64)
+    keys = classes.select(F.explode("anchors").alias("key")).groupBy(F.shiftrightunsigned("key", 64 - CELL_BITS).alias("cell")).count()
+    for r in keys.collect():  # 2**CELL_BITS rows at most
+        found[r["cell"]] = r["count"]
+    return found
+
+
+def _marked(common, share: float):
+    """(same, key, n, rare) of each class and feature, n being the class's. rare: it is among so many of the class's rarest that whoever
+    has the share of its features has one of them."""
 
     def run(batches):
         for batch in batches:
-            x = [batch.column(c).to_pylist() for c in ("digest_a", "n_a", "digest_b", "n_b", "shared")]
-            yield record("a b score", batch.column("a"), batch.column("b"), pa.array([score(a, m, b, n) if min(m, n) >= FEWEST else score_few(shared, m, n) for a, m, b, n, shared in zip(*x)], pa.int32()))
+            anchors = batch.column("anchors").combine_chunks() if isinstance(batch.column("anchors"), pa.ChunkedArray) else batch.column("anchors")
+            n = np.diff(anchors.offsets.to_numpy())
+            key = anchors.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((key, common.value[(key.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)], owner))
+            key, place = key[order], np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+            most = n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
+            yield record("same key n rare", batch.column("same").take(pa.array(owner)), key, pa.array(n[owner], pa.int32()), place < most[owner])
+
+    return run
+
+
+def compare(known: DataFrame, queries: DataFrame, least: int) -> DataFrame:
+    """(a, b, score) of the digests a of queries (same) and all other digests b of known that score least or more against them.
+
+    Equal digests are one. A score of least stands for a share of the features of the document with fewer; by prefix filtering,
+    pairs that share so many (less SLACK, as filters blur them) meet in one of the rarest features of either, so common
+    passages bring nobody together who has more of his own.
+    """
+    share = max(0.0, 0.3 + 0.7 * least / 100 - SLACK)
+    classes = cut(one_each(known.select("same", "n_features", "digest", "anchors").filter("n_features > 0"), "same"))
+    common = known.sparkSession.sparkContext.broadcast(cells(classes))
+    marks = lambda df: df.select("same", "anchors").mapInArrow(_marked(common, share), "same long, key long, n int, rare boolean")
+    ask = cut(marks(by_id(classes, queries.withColumnRenamed("same", "__id"), "left_semi", "same")).toDF("a", "key", "n_a", "rare_a"))
+    ask = F.broadcast(ask) if fits(ask, 24) else ask
+    met = marks(classes).join(ask, "key").filter("same <> a and (rare or rare_a)")
+    pairs = cut(met.groupBy("a", F.col("same").alias("b")).agg((F.least(F.first("n_a"), F.first("n")) < FEWEST).alias("few")))
+
+    def told(rows: DataFrame, what: str, judge) -> DataFrame:
+        for c in "ab":
+            ids = cut(rows.select(F.col(c).alias("__id")).distinct())
+            rows = rows.join(by_id(classes, ids, "left_semi", "same").select(F.col("same").alias(c), F.col(what).alias(f"x_{c}"), F.col("n_features").alias(f"n_{c}")), c)
+
+        def run(batches):
+            for batch in batches:
+                found = np.array([judge(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("x_a", "n_a", "x_b", "n_b")))], np.int32)
+                at = pa.array(np.flatnonzero(found >= least))
+                yield record("a b score", batch.column("a").take(at), batch.column("b").take(at), pa.array(found).take(at))
+
+        return rows.select("a", "b", "x_a", "n_a", "x_b", "n_b").mapInArrow(run, "a long, b long, score int")
 
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a long, b long, score int")
+    few = told(pairs.filter("few").drop("few"), "anchors", lambda x, m, y, n: score_few(len(set(x) & set(y)), m, n))
+    return told(pairs.filter("not few").drop("few"), "digest", score).unionByName(few)
 
 
-def fingerprints(docs: DataFrame, least: int = SCORE) -> DataFrame:
-    """(doc_id, n_bytes, n_features, n_filters, digest, similar_id, similar_score, nearest_id, nearest_score) of every document, in place of its row; digests in base64.
+def fingerprints(docs: DataFrame, least: int = SCORE, every: int = QUERY_EVERY) -> DataFrame:
+    """(doc_id, n_bytes, n_features, n_filters, digest, class_id, similar, nearest_id, nearest_score) of every document, in place of its row; digests in base64.
 
     Features are windows of SIZE bytes. The rarer their entropy among all windows of all texts, the lower their rank; those
     that are of the lowest rank in POPULAR or more of the SIZE windows around are selected, and inserted into chained Bloom
-    filters of FILTER_BITS bits. Every row is a query: of all other documents that share a feature with it, nearest_id is the
-    one whose digest overlaps most, ties to the least id, if the score reaches least; similar_id is the same among the
-    documents of lesser ids, so each document of a group of copies points to its first by it. Equal digests are taken
-    together and score 100; distinct ones meet by each of their features.
+    filters of FILTER_BITS bits. class_id is the least id of the documents of the same digest. Documents whose ids every divides
+    are queries, compared with all others: similar is the number of those whose digests overlap theirs by least or more,
+    nearest_id the one that does most, ties to the least id (both null if there is none); the rest have nulls there.
 
     Null texts have null digests; texts shorter than a window have empty ones. Where one of two documents has fewer than FEWEST
     features, they are compared by the features themselves; texts without features, if equal. Null and empty texts have no
-    similar one.
-    Rows without doc_id have a nearest document, but no similar one, and are none themselves. Of repeated ids each row is a
-    query by its own digest, and never has its own id. An empty table gives no rows; other columns are not read.
+    class and, if queries, 0 similar ones.
+    Rows without doc_id are no queries and count nowhere; their class is that of their digest, null if only such have it. Of
+    repeated ids each row is a query by its own digest, and never has its own id. An empty table gives no rows; other columns
+    are not read.
     """
     table = cut(digests(docs, ranks(docs)))
     known = table.filter("same is not null")
-    place = F.row_number().over(Window.partitionBy("same").orderBy("doc_id"))
-    ids = known.filter("doc_id is not null").select("same", "doc_id").distinct().withColumn("place", place).filter("place <= 2")
-    groups = cut(ids.groupBy("same").agg(F.min("doc_id").alias("one"), F.max(F.when(F.col("place") == 2, F.col("doc_id"))).alias("two")))
-    found = cut(compare(known).filter(F.col("score") >= least))
-    both = found.select("a", "b", "score").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(groups.select(F.col("same").alias("a"), F.col("same").alias("b"), F.lit(100).alias("score")))
-    # The least two ids of each digest are enough: one of them isn't that of the row that asks.
-    partner = both.join(groups.withColumnRenamed("same", "b"), "b").select("a", "score", F.explode(F.array("one", "two")).alias("id")).filter("id is not null").groupBy("a", "id").agg(F.max("score").alias("score"))
-    own = groups.select(F.col("same").alias("a"), F.col("one").alias("first"))
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.col("score").desc(), "id"))
-    best = F.struct("score", (-F.col("id")).alias("id"))
-    top = partner.join(own, "a", "left").withColumn("place", place).groupBy(F.col("a").alias("__same")).agg(
-        F.first("first", True).alias("first"), F.max(F.when(F.col("place") == 1, best)).alias("n1"), F.max(F.when(F.col("place") == 2, best)).alias("n2"), F.max(F.when(F.col("id") < F.col("first"), best)).alias("before")
-    )
-    top = cut(top)
-    top = F.broadcast(top) if fits(top, 64) else top
-    rows = table.drop("anchors").withColumn("digest", F.translate(F.base64("digest"), "\r\n", "")).join(top, F.col("same") == F.col("__same"), "left")
-    # Other rows of a digest than its first document have that one before them, with the score 100.
-    similar = F.when(F.col("doc_id") == F.col("first"), F.col("before")).when(F.col("doc_id") > F.col("first"), F.col("n1"))
-    nearest = F.when(F.col("doc_id") == -F.col("n1.id"), F.col("n2")).otherwise(F.col("n1"))
-    rows = rows.withColumn("__s", similar).withColumn("__n", nearest)
-    return rows.select("doc_id", "n_bytes", "n_features", "n_filters", "digest", (-F.col("__s.id")).alias("similar_id"), F.col("__s.score").alias("similar_score"), (-F.col("__n.id")).alias("nearest_id"), F.col("__n.score").alias("nearest_score"))
+    ids = known.filter("doc_id is not null").select("same", "doc_id").distinct()
+    groups = cut(ids.groupBy("same").agg(F.min("doc_id").alias("one"), F.count("*").alias("members")))
+    query = F.col("doc_id") % every == 0
+    asked = cut(ids.filter(query).toDF("a", "id"))
+    found = cut(compare(known, asked.select(F.col("a").alias("same")).distinct(), least))
+    own = asked.select("a").distinct()
+    both = found.unionByName(own.select("a", F.col("a").alias("b"), F.lit(100).alias("score")))
+    # The least two ids of a class are enough: one of them isn't that of the row that asks.
+    alone = F.broadcast(asked.select("id").distinct()) if fits(asked) else asked.select("id").distinct()
+    first = groups.filter("members > 1").join(alone, F.col("one") == F.col("id"), "left_semi")
+    two = ids.join(first.select("same", "one"), "same").filter("doc_id > one").groupBy("same").agg(F.min("doc_id").alias("two"))
+    parts = groups.join(two, "same", "left").withColumnRenamed("same", "b")
+    repeated = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    mine = ids.join(F.broadcast(repeated) if fits(repeated) else repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("same").alias("b"), F.lit(1).alias("mine"))
+    met = both.join(parts, "b").join(asked, "a").join(mine, ["id", "b"], "left")
+    self_ = F.greatest((F.col("a") == F.col("b")).cast("int"), F.coalesce("mine", F.lit(0)))
+    other = F.when(F.col("one") != F.col("id"), F.col("one")).otherwise(F.col("two"))
+    best = F.min(F.when(other.isNotNull(), F.struct((-F.col("score")).alias("s"), other.alias("id"))))
+    top = met.groupBy(F.col("id").alias("__q"), F.col("a").alias("__a")).agg(F.sum(F.col("members") - self_).alias("similar"), best.alias("best"))
+    top = cut(top.select("__q", "__a", "similar", F.col("best.id").alias("nearest_id"), (-F.col("best.s")).alias("nearest_score")))
+    several = groups.filter("members > 1").select(F.col("same").alias("__same"), "one")
+    several = F.broadcast(several) if fits(several) else several
+    # Only classes of several documents, and only queries, are joined with more than their own rows.
+    rows = table.drop("anchors").withColumn("digest", F.translate(F.base64("digest"), "\r\n", "")).join(several, F.col("same") == F.col("__same"), "left")
+    rows = rows.withColumn("class_id", F.coalesce("one", F.when(F.col("same").isNotNull(), F.col("doc_id"))))
+    asking = F.coalesce(query, F.lit(False))
+    told = rows.filter(asking).join(F.broadcast(top) if fits(top, 48) else top, (F.col("doc_id") == F.col("__q")) & (F.col("same") == F.col("__a")), "left").withColumn("similar", F.coalesce("similar", F.lit(0).cast("long")))
+    rest = rows.filter(~asking).withColumns({"similar": F.lit(None).cast("long"), "nearest_id": F.lit(None).cast("long"), "nearest_score": F.lit(None).cast("int")})
+    names = ["doc_id", "n_bytes", "n_features", "n_filters", "digest", "class_id", "similar", "nearest_id", "nearest_score"]
+    return told.select(*names).unionByName(rest.select(*names))

@@ -72,33 +72,6 @@ def test_filters_hold_their_features():
     assert fp.score(digest, 400, fp.bloom(h[:3]), 3) == -1
 
 
-def test_similar_documents_against_brute_force(spark):
-    rng = random.Random(6)
-    rows = []
-    for g in range(12):
-        base = prose(g, 200).split()
-        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(base[:150] + prose(50 + g, 40).split())), (10 * g + 2, " ".join(base).replace(base[7], "other")), (10 * g + 3, prose(300 + g, 150))]
-    rng.shuffle(rows)
-    docs = make(spark, rows)
-    rank = fp.ranks(docs)
-    own = {}
-    for d, t in rows:
-        data, offsets = arrays([t])
-        at = fp.features(data, offsets, rank)
-        h = span_hashes(data, at, at + fp.SIZE)
-        own[d] = h
-    digest = {d: (fp.bloom(h), len(set(h.tolist()))) for d, h in own.items()}
-    all_pairs = {(a, b): fp.score(*digest[a], *digest[b]) for a in own for b in own if a < b}
-    got = {r.doc_id: r for r in fp.fingerprints(docs).collect()}
-    assert len(got) == len(rows)
-    for d, r in got.items():
-        assert r.n_features == digest[d][1] and r.n_filters == len(digest[d][0]) * 8 // fp.FILTER_BITS
-        if r.similar_id is not None:
-            assert all_pairs[r.similar_id, d] == r.similar_score >= fp.SCORE
-    like = {b for (a, b), s in all_pairs.items() if s >= fp.SCORE}
-    assert len({d for d, r in got.items() if r.similar_id is not None} & like) >= 0.9 * len(like)
-
-
 def test_ranks_count_all_windows(spark):
     docs = make(spark, list(enumerate(texts())))
     counts = Counter()
@@ -109,26 +82,21 @@ def test_ranks_count_all_windows(spark):
 
 
 def test_odd_rows(spark, odd, empty):
-    out = fp.fingerprints(odd).collect()
+    out = fp.fingerprints(odd, every=1).collect()
     assert len(out) == len(odd_rows())
     assert sum(r.digest is None for r in out) == 2
     assert all(r.n_features == 0 and r.digest == "" for r in out if r.doc_id in (3, 4, 5, 7))
+    assert all(r.class_id is None and r.similar == 0 for r in out if r.doc_id in (2, 3))
+    assert all(r.similar is None and r.class_id is None for r in out if r.doc_id is None)
     assert fp.fingerprints(empty).count() == 0
-    again = fp.fingerprints(odd.unionByName(odd).unionByName(make(spark, [(80, prose(8)), (88, prose(88))]))).collect()
+    again = fp.fingerprints(odd.unionByName(odd).unionByName(make(spark, [(80, prose(8)), (88, prose(88))])), every=1).collect()
     assert len(again) == 2 * len(odd_rows()) + 2
-    assert {r.similar_id for r in again if r.doc_id in (80, 88)} == {8, None} or {r.similar_id for r in again if r.doc_id in (80, 88)} == {8}
+    assert {(r.class_id, r.nearest_id, r.similar) for r in again if r.doc_id in (80, 88)} == {(8, 8, 1)}
+    assert {(r.class_id, r.nearest_id, r.similar) for r in again if r.doc_id == 8} == {(8, 80, 1), (8, 88, 1)}
 
 
-def test_every_row_is_a_query(spark):
-    """Recall over all rows and pairs, both directions: chains, whose best partners are no firsts, copies, and their firsts."""
-    rows = []
-    for g in range(15):
-        w = prose(g, 200).split()
-        for k in range(5):  # each shares most with its neighbours in the chain
-            rows.append((100 * g + 7 * k % 5, " ".join(w[30 * k :] + prose(1000 + 10 * g + k, 30 * k + 1).split())))
-        rows += [(100 * g + 50, rows[-1][1]), (100 * g + 51, rows[-1][1])]
-    docs = make(spark, rows + [(None, rows[0][1])])
-    rank = fp.ranks(docs)
+def brute(rows, rank):
+    """Scores of all pairs by their digests, and the features of each."""
     digest, own = {}, {}
     for d, t in rows:
         data, offsets = arrays([t])
@@ -138,30 +106,73 @@ def test_every_row_is_a_query(spark):
     scores = defaultdict(dict)
     for a in own:
         for b in own:
-            if a != b and own[a] & own[b] and (s := fp.score(*digest[a], *digest[b])) >= fp.SCORE:
-                scores[a][b] = s
+            few = min(digest[a][1], digest[b][1]) < fp.FEWEST
+            if a != b and own[a] and own[b]:
+                s = fp.score_few(len(own[a] & own[b]), digest[a][1], digest[b][1]) if few else fp.score(*digest[a], *digest[b])
+                if s >= fp.SCORE:
+                    scores[a][b] = s
+    return scores, own, digest
+
+
+def test_queries_against_all_rows_by_brute_force(spark):
+    """Chains of near copies, exact copies, parts of others, and a passage that all share; every query's best and number of partners."""
+    shared = prose(777, 40)
+    rows = []
+    for g in range(15):
+        w = prose(g, 200).split()
+        for k in range(5):  # each shares most with its neighbours in the chain
+            rows.append((100 * g + 7 * k % 5, " ".join(w[30 * k :] + prose(1000 + 10 * g + k, 30 * k + 1).split()) + " " + shared))
+        rows += [(100 * g + 50, rows[-1][1]), (100 * g + 51, rows[-1][1]), (100 * g + 52, " ".join(w[:40]))]
+    docs = make(spark, rows + [(None, rows[0][1])])
+    scores, _, digest = brute(rows, fp.ranks(docs))
     assert len(scores) > 60
-    got = {r.doc_id: r for r in fp.fingerprints(docs).collect()}
-    for d in own:
-        want = max(((s, -b) for b, s in scores[d].items()), default=None)
-        assert (got[d].nearest_score, got[d].nearest_id) == ((want[0], -want[1]) if want else (None, None))
-        want = max(((s, -b) for b, s in scores[d].items() if b < d), default=None)
-        assert (got[d].similar_score, got[d].similar_id) == ((want[0], -want[1]) if want else (None, None))
-    assert got[None].nearest_score == 100 and got[None].similar_id is None
+    table = fp.fingerprints(docs, every=1).collect()
+    got = {r.doc_id: r for r in table}
+    assert len(table) == len(rows) + 1
+    met = sum(got[d].similar for d in got if d is not None) / sum(map(len, scores.values()))
+    assert 0.98 <= met <= 1
+    same = sum((got[d].nearest_score, got[d].nearest_id) == (max(((s, -b) for b, s in scores[d].items()))[0], -max(((s, -b) for b, s in scores[d].items()))[1]) for d in scores)
+    assert same >= 0.98 * len(scores)
+    for d, r in got.items():
+        if d is not None:
+            assert r.n_features == digest[d][1] and r.class_id == min(b for b, _ in rows if digest[b] == digest[d])
+    # The same queries, and only those, with the usual divisor.
+    some = {r.doc_id: r for r in fp.fingerprints(docs).collect()}
+    for d, r in some.items():
+        assert (r.similar, r.nearest_id, r.nearest_score) == ((got[d].similar, got[d].nearest_id, got[d].nearest_score) if d is not None and d % 100 == 0 else (None, None, None))
+
+
+def test_recall_on_the_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    scores, _, _ = brute(rows, fp.ranks(docs))
+    got = {r.doc_id: r for r in fp.fingerprints(docs, every=1).collect()}
+    want = sum(map(len, scores.values()))
+    assert sum(min(got[d].similar, len(scores[d])) for d in scores) >= 0.95 * want
+
+
+def test_shuffled_index_and_queries_make_no_difference(spark, monkeypatch):
+    import sparkloom.llm.common as common
+
+    docs = make(spark, [(i, prose(i // 3, 100 + i % 3)) for i in range(60)])
+    one = sorted(map(tuple, fp.fingerprints(docs, every=2).collect()))
+    for module in (common, fp):
+        monkeypatch.setattr(module, "fits", lambda *_, **__: False)
+    assert sorted(map(tuple, fp.fingerprints(docs, every=2).collect())) == one
 
 
 def test_texts_of_few_features_are_compared(spark):
-    copies = ["no feature here", prose(1, 14), prose(2, 30), prose(3, 60)]
+    copies = ["no feature here", prose(1, 14), prose(2, 30), prose(3, 50)]
     rows = [(10 * i + k, t) for i, t in enumerate(copies) for k in range(3)]
     rows += [(100, prose(2, 30) + " " + prose(9, 200)), (101, ""), (102, ""), (103, None), (104, None), (105, "another without")]
-    got = {r.doc_id: r for r in fp.fingerprints(make(spark, rows)).collect()}
+    got = {r.doc_id: r for r in fp.fingerprints(make(spark, rows), every=1).collect()}
     few = [got[10 * i].n_features for i in range(4)]
-    assert few[0] == 0 and 0 < few[2] < fp.FEWEST
+    assert few[0] == 0 and 0 < few[2] < fp.FEWEST and 0 < few[3] < fp.FEWEST
     for i in range(len(copies)):
         a, b, c = (got[10 * i + k] for k in range(3))
         assert (a.nearest_id, b.nearest_id, c.nearest_id) == (10 * i + 1, 10 * i, 10 * i)
-        assert (a.similar_id, b.similar_id, c.similar_id) == (None, 10 * i, 10 * i)
+        assert a.class_id == b.class_id == c.class_id == 10 * i and a.similar >= 2
         assert a.nearest_score == b.nearest_score == c.nearest_score == 100
-    assert got[100].nearest_id == 20 and got[100].nearest_score >= fp.SCORE
-    assert all(got[d].nearest_id is None for d in range(101, 106))
+    assert got[100].nearest_id == 20 and got[100].nearest_score >= fp.SCORE and got[100].similar == 3
+    assert all(got[d].nearest_id is None and got[d].similar == 0 for d in range(101, 106))
     assert [fp.score_few(*x) for x in ((3, 3, 400), (2, 4, 5), (1, 4, 4), (1, 1, 9))] == [100, 29, 0, 100]
