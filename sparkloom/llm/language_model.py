@@ -23,7 +23,7 @@ BITS_PER_ENTRY, PROBE_BITS = 16, 5
 BROADCAST_BYTES = 8 << 20
 SLICE_BYTES = 6_000_000  # of the corpus for each slice of the filter
 MOST_SLICES = 1 << 17
-PART_BYTES = 8 << 20  # of texts whose n-grams are counted together; a longer text is a part of its own
+PART_BYTES = 4 << 20  # of texts whose n-grams are counted together; a longer text is a part of its own
 
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1], np.uint64)
 LEVELS = 1 + int(math.log(2**62, BASE))
@@ -153,20 +153,24 @@ def _word(entry: np.ndarray, words: np.ndarray | int) -> np.ndarray:
     return ((entry >> np.uint64(32)) * np.asarray(words).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
-def _slice(table: pa.Table) -> tuple[np.ndarray, int, int, list[tuple[int, int, np.ndarray]]]:
+def _slice(table: pa.Table) -> tuple[np.ndarray, int, int, list, dict]:
     """One slice of the filter from its rows: bits, in which every n-gram is at all levels from 1 to its own; tokens and distinct words;
-    and what each row holds, as (part, order, hashes)."""
+    the rows (part, order, hashes, counts); and of each order the distinct hashes, its rows, and where in them each row's are."""
     rows = [(p, k, unpack(g), np.diff(unpack(c), prepend=np.uint64(0))) for p, k, g, c in zip(*(table.column(x).to_pylist() for x in ("part", "gram", "grams", "counts")))]
-    entries, tokens, kinds = [], 0, 0
+    entries, tokens, kinds, distinct = [], 0, 0, {}
     for k in range(ORDER):
-        own = [(g, c) for _, o, g, c in rows if o == k]
+        own = [i for i, r in enumerate(rows) if r[1] == k]
         if not own:
             continue
-        g, c = (np.concatenate(x) for x in zip(*own))
-        order = np.argsort(g, kind="stable")
+        g, c = (np.concatenate([rows[i][x] for i in own]) for x in (2, 3))
+        order = np.argsort(g, kind="stable")  # merges the rows, which are sorted
         g = g[order]
-        edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        c, g = np.add.reduceat(c[order], edge), g[edge]
+        first = np.ones(len(g), bool)
+        first[1:] = g[1:] != g[:-1]
+        c, g = np.add.reduceat(c[order], np.flatnonzero(first)), g[first]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(first) - 1
+        distinct[k] = g, own, np.split(place, np.cumsum([len(rows[i][2]) for i in own])[:-1])
         g, c = g[c > 0], c[c > 0]
         if k == 0:
             tokens, kinds = int(c.sum()), len(g)
@@ -175,14 +179,18 @@ def _slice(table: pa.Table) -> tuple[np.ndarray, int, int, list[tuple[int, int,
         entries.append(_entry(h, np.arange(len(h)) - np.repeat(np.cumsum(level) - level, level) + 1))
     entries = np.concatenate([np.zeros(0, np.uint64), *entries])
     words = max(1, -(-len(entries) * BITS_PER_ENTRY // 64))
+    at, bit = _word(entries, words), masks(entries)
+    order = np.argsort(at)
+    at, bit = at[order], bit[order]
+    start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
     bits = np.zeros(words, np.uint64)
-    np.bitwise_or.at(bits, _word(entries, words), masks(entries))
-    return bits, tokens, kinds, [(p, k, g) for p, k, g, _ in rows]
+    bits[at[start]] = np.bitwise_or.reduceat(bit, start) if len(at) else 0
+    return bits, tokens, kinds, rows, distinct
 
 
 def _fill(key, table):
     """One slice of the filter, to be broadcast."""
-    bits, tokens, kinds, _ = _slice(table)
+    bits, tokens, kinds, *_ = _slice(table)
     return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary()), "tokens": pa.array([tokens], pa.int64()), "kinds": pa.array([kinds], pa.int64())})
 
 
@@ -191,11 +199,11 @@ def _answer(slices: int):
 
     def run(key, table):
         s = key[0].as_py()
-        bits, tokens, kinds, rows = _slice(table)
-        own, asked = Filter(slices, [(s, bits.tobytes())]), [r for r in rows if r[0] >= 0]
-        found = np.unique(np.concatenate([np.zeros(0, np.uint64), *[g for _, _, g in asked]]))
-        level = own.levels(found << np.uint64(16)).astype(np.uint8)  # each is probed once
-        out = [(p, k, level[np.searchsorted(found, g)].tobytes()) for p, k, g in asked]
+        bits, tokens, kinds, rows, distinct = _slice(table)
+        held, out = Filter(slices, [(s, bits.tobytes())]), []
+        for k, (g, own, places) in distinct.items():
+            level = held.levels(g << np.uint64(16)).astype(np.uint8)  # each n-gram is probed once
+            out += [(rows[i][0], k, level[place].tobytes()) for i, place in zip(own, places) if rows[i][0] >= 0]
         n = len(out)
         totals = [pa.array([x, *[0] * n], pa.int64()) for x in (tokens, kinds)]
         return pa.table({"part": pa.array([-1, *[x[0] for x in out]], pa.int64()), "slice": pa.array(np.full(n + 1, s), pa.int64()), "gram": pa.array([-1, *[x[1] for x in out]], pa.int32()), "levels": pa.array([b"", *[x[2] for x in out]], pa.binary()), "tokens": totals[0], "kinds": totals[1]})
