@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, by_id, cut, filter_rows, lowered, mix, pieces, record
+from .common import Tokens, by_id, cut, filter_rows, fits, lowered, mix, pieces, record
 
 MIN_MATCH = 4  # tokens of the shortest tile
 COVERAGE = 0.6  # share of a benchmark item's tokens in tiles, from which on a document is contaminated
 FIRST_LENGTH = 20  # of the running search
 #: Benchmarks are broadcast up to so many bytes of text; beyond, documents and items meet in a join by seed.
 BENCHMARK_BYTES = 16 << 20
+#: Bits of the map of seeds that is broadcast where items are not: 8 MB.
+MAP_BITS = 26
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,7 +147,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     benchmark = _items(benchmark)
     if not _small(benchmark, broadcast_bytes):
-        return _by_seed(docs, benchmark, coverage, least)
+        rows = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+        return _by_seed(rows, benchmark, coverage, least).drop("row")
     shared = docs.sparkSession.sparkContext.broadcast(_index(benchmark, coverage, least))
 
     def run(batches):
@@ -180,54 +183,92 @@ def _hits(index: Index, batch: pa.RecordBatch) -> list[tuple]:
     return [(d, i, *index.covered(i, tok.hash[tok.first[d] : tok.first[d + 1]])) for d, i in index.candidates(tok)]
 
 
+def _seeds(x: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k tokens."""
+    n = max(0, len(x) - k + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h = h * _P + x[j : j + n]
+    return mix(h)
+
+
+def _map(seeds: DataFrame) -> np.ndarray:
+    """A bit for the first MAP_BITS bits of each seed: of fixed size, put together from 64 parts."""
+    part = MAP_BITS - 6
+
+    def mark(key, table):
+        bits = np.zeros(1 << part, bool)
+        bits[table.column("low").to_numpy()] = True
+        return pa.table({"part": [key[0].as_py()], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    cell = F.shiftrightunsigned("seed", 64 - MAP_BITS)
+    low = seeds.select(F.shiftrightunsigned(cell, part).alias("part"), cell.bitwiseAND((1 << part) - 1).alias("low")).distinct()
+    out = np.zeros((64, 1 << part), bool)
+    for r in low.groupBy("part").applyInArrow(mark, "part long, bits binary").collect():  # 64 rows of 128 kB
+        out[r["part"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return np.packbits(out.ravel())
+
+
 def _by_seed(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int) -> DataFrame:
-    """The same for benchmarks of any size: items and documents that share a seed meet, then are tiled."""
+    """The same for benchmarks of any size, with the rows' numbers: docs (row, doc_id, text), written. Seeds of the texts that the map
+    lets pass meet those of the items; what shares enough seeds to cover an item is tiled."""
+    items = cut(benchmark.withColumn("item", F.monotonically_increasing_id()))
 
-    def items(batches):
+    def split(batches):
         for batch in pieces(batches):
-            index = Index(batch.column("item_id").to_pylist(), batch.column("text"), least)
-            for k, (keys, item, _, _) in index.seeds.items():
-                yield record("k seed item_id", pa.array(np.full(len(keys), k), pa.int32()), keys.view(np.int64), pa.array([index.ids[i] for i in item], pa.int64()))
+            index = Index(batch.column("item").to_pylist(), batch.column("text"), least)
+            for k, (keys, item, place, _) in index.seeds.items():
+                yield record("k seed item place size", pa.array(np.full(len(keys), k), pa.int32()), keys.view(np.int64), pa.array([index.ids[i] for i in item], pa.int64()), pa.array(place, pa.int32()), pa.array(index.sizes[item], pa.int32()))
 
-    seeds = cut(benchmark.mapInArrow(items, "k int, seed long, item_id long").distinct())
-    sizes = [r[0] for r in seeds.select("k").distinct().collect()]
+    seeds = cut(items.mapInArrow(split, "k int, seed long, item long, place int, size int"))
+    sizes = sorted(r[0] for r in seeds.select("k").distinct().collect())  # least and below
+    known = docs.sparkSession.sparkContext.broadcast(_map(seeds))
 
     def texts(batches):
         for batch in pieces(batches):
             tok = Tokens(*lowered(batch))
             for k in sizes:
-                n = len(tok.hash) - k + 1
-                if n < 1:
+                h = _seeds(tok.hash, k)
+                if not len(h):
                     continue
-                h = np.zeros(n, np.uint64)
-                for j in range(k):
-                    h = h * _P + tok.hash[j : j + n]
-                at = np.flatnonzero(tok.doc[:n] == tok.doc[k - 1 :])
-                yield record("k seed doc_id", pa.array(np.full(len(at), k), pa.int32()), mix(h[at]).view(np.int64), batch.column("doc_id").take(pa.array(tok.doc[at])))
+                cell = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                at = np.flatnonzero((known.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool) & (tok.doc[: len(h)] == tok.doc[k - 1 :]))
+                if len(at):
+                    pair = np.unique(np.stack([tok.doc[at].astype(np.uint64), h[at]]), axis=1)
+                    yield record("k seed row", pa.array(np.full(pair.shape[1], k), pa.int32()), pair[1].view(np.int64), batch.column("row").take(pa.array(pair[0].astype(np.int64))))
 
-    pairs = docs.mapInArrow(texts, "k int, seed long, doc_id long").join(seeds, ["k", "seed"]).select("doc_id", "item_id").distinct()
+    hits = docs.select("row", "text").mapInArrow(texts, "k int, seed long, row long").join(F.broadcast(seeds) if fits(seeds, 32) else seeds, ["k", "seed"])
+    covered = hits.select("row", "item", "size", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("k") - 1)).alias("at")).distinct().groupBy("row", "item", "size").count()
+    pairs = cut(covered.filter(F.col("count") >= F.col("size") * F.lit(coverage) - 1e-9).select("row", "item"))
+    own = by_id(docs, cut(pairs.select(F.col("row").alias("__id")).distinct()), "left_semi", "row")
 
     def tile(batches):
-        for batch in pieces(pieces(batches), "item"):
+        for batch in pieces(pieces(batches), "body"):
             tok = Tokens(*lowered(batch))
-            index = Index(batch.column("item_id").to_pylist(), batch.column("item"), least)
+            index = Index(batch.column("item_id").to_pylist(), batch.column("body"), least)
             index.coverage = coverage
-            ids = batch.column("doc_id").to_pylist()
-            yield _rows(index, [(ids[d], d, *index.covered(d, tok.hash[tok.first[d] : tok.first[d + 1]])) for d in range(batch.num_rows) if index.sizes[d]])
+            ids, rows = batch.column("doc_id").to_pylist(), batch.column("row")
+            hits = [(d, *index.covered(d, tok.hash[tok.first[d] : tok.first[d + 1]])) for d in range(batch.num_rows)]
+            hits = [x for x in hits if x[1] >= index.need(x[0])]
+            found = _rows(index, [(ids[d], d, *x) for d, *x in hits])
+            yield pa.RecordBatch.from_arrays([rows.take(pa.array([x[0] for x in hits], pa.int64())), *found.columns], ["row", *found.schema.names])
 
-    return pairs.join(docs, "doc_id").join(benchmark.withColumnRenamed("text", "item"), "item_id").select("doc_id", "text", "item_id", "item").mapInArrow(tile, _RESULT)
+    return pairs.join(own, "row").join(items.withColumnRenamed("text", "body"), "item").select("row", "doc_id", "text", "item_id", "body").mapInArrow(tile, f"row long, {_RESULT}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MIN_MATCH, broadcast_bytes: int = BENCHMARK_BYTES) -> DataFrame:
-    """The rows of docs that contain no benchmark item, with all their columns; see contaminated.
+    """The rows of docs that contain no benchmark item, with all their columns, whatever their names; see contaminated.
 
-    Each row is judged by its own text, those without doc_id too; for benchmarks beyond broadcast_bytes a repeated doc_id goes
-    with any of its rows, and rows without doc_id stay.
+    Each row is judged by its own text, those without doc_id and those of repeated ids too. Rows with null or empty texts stay;
+    an empty table gives no rows, an empty benchmark keeps all.
     """
     benchmark = _items(benchmark)
     if not _small(benchmark, broadcast_bytes):
-        gone = cut(contaminated(docs, benchmark, coverage, least, broadcast_bytes).select(F.col("doc_id").alias("__id")).distinct())
-        return by_id(docs, gone, "left_anti")
+        names = docs.columns
+        rows = cut(docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id()))
+        texts = rows.select("row", F.lit(0).cast("long").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text")).filter("text is not null")
+        gone = cut(_by_seed(texts, benchmark, coverage, least).select(F.col("row").alias("__id")).distinct())
+        return by_id(rows, gone, "left_anti", "row").drop("row").toDF(*names)
     shared = docs.sparkSession.sparkContext.broadcast(_index(benchmark, coverage, least))
 
     def judge(batch):
