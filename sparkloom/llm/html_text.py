@@ -15,26 +15,41 @@ WINDOW = 3  # lines whose text lengths are summed
 SURGE = 86  # signs in a window, from which on content begins
 GAP = 2  # empty lines at which it ends
 
-_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|svg|head|textarea|iframe|select)(?=[\s/>])", re.I)
-_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg head textarea iframe select".split()}
+#: Of these nothing is seen. A head is not among them: what it holds is, so that it needs no end.
+_ELEMENTS = "script style noscript template svg title textarea iframe select".split()
+_HIDDEN = re.compile(rf"<!--|<({'|'.join(_ELEMENTS)})(?=[\s/>])", re.I)
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in _ELEMENTS}
+#: Without their ends these hide all that follows, as in browsers; the others end where a block begins.
+_RAW = ("script", "style")
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|center|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|tr|ul)(?:[\s/][^<>]*)?>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
 _BLANK = re.compile(r"[ \t\r\f\v ]+")
 
 
 def visible(page: str) -> str:
-    """The page without comments and hidden elements; one that isn't closed hides all that follows."""
-    out, at = [], 0
+    """The page without comments and hidden elements. Comments, scripts and styles that aren't closed hide all that follows; other
+    elements then end at the next block tag, or hide their own tag only if there is none."""
+    out, at, open_ = [], 0, set()
     while m := _HIDDEN.search(page, at):
         out.append(page[at : m.start()])
-        if m[1] is None:
-            end = page.find("-->", m.end())
-            end = end + 3 if end >= 0 else -1
-        else:
-            close = _CLOSE[m[1].lower()].search(page, m.end())
-            end = close.end() if close else -1
-        if end < 0:
+        tag = m[1].lower() if m[1] else "!"
+        end = -1
+        if tag not in open_:  # it was not looked for in vain before
+            if tag == "!":
+                end = page.find("-->", m.end())
+                end = end + 3 if end >= 0 else -1
+            else:
+                close = _CLOSE[tag].search(page, m.end())
+                end = close.end() if close else -1
+            if end < 0:
+                open_.add(tag)
+        if end < 0 and (tag == "!" or tag in _RAW):
             return "".join(out)
+        if end < 0:
+            block = None if "block" in open_ else _BREAK.search(page, m.end())
+            if not block:
+                open_.add("block")
+            end = block.start() if block else m.end()
         at = end
     return "".join([*out, page[at:]])
 

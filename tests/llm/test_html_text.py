@@ -41,8 +41,49 @@ def test_broken_markup(page, want):
     assert ht.extract(page)[0] == want
 
 
+@pytest.mark.parametrize("opened", ["<head><title>T</title><meta x>", "<head><title>T<body>", "<head><style>p {}</style><body>", "<body><select><option>a<option>b<div>", "<textarea>x<p>", "<iframe src=a><p>", "<noscript><p>", "<svg><path d=1><p>", "<title>T<p>", "<head><script>'<p>'</script>"])
+def test_elements_without_their_ends_hide_no_article(opened):
+    assert ht.extract(f"<html>{opened}<p>{LONG}</p><p>{LONG}</p>")[0].split("\n")[-2:] == [LONG, LONG]
+
+
+def brute_visible(page):
+    """The same sign by sign, without memory of what was looked for."""
+    out, i, low = [], 0, page.lower()
+    starts = lambda t, k: low.startswith("<" + t, k) and k + len(t) + 1 < len(low) and low[k + len(t) + 1] in " \t\n\r\f\v/>"
+    while i < len(page):
+        tag = next((t for t in ht._ELEMENTS if starts(t, i)), None)
+        if low.startswith("<!--", i):
+            end = low.find("-->", i + 4)
+            i = end + 3 if end >= 0 else len(page)
+        elif tag:
+            close = next((k for k in range(i + len(tag) + 1, len(low)) if low.startswith("</" + tag, k) and low[k + len(tag) + 2 :].lstrip()[:1] == ">"), None)
+            if close is not None:
+                i = low.index(">", close) + 1
+            elif tag in ("script", "style"):
+                i = len(page)
+            else:
+                block = next((k for k in range(i + len(tag) + 1, len(low)) if ht._BREAK.match(page, k)), None)
+                i = i + len(tag) + 1 if block is None else block
+        else:
+            out.append(page[i])
+            i += 1
+    return "".join(out)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_visible_text_against_brute_force(seed):
+    rng = random.Random(seed)
+    bits = [f"<{t}>" for t in ht._ELEMENTS] + [f"</{t}>" for t in ht._ELEMENTS] + ["<!--", "-->", "<p>", "</p>", "<div class=a>", "x", " text ", "<b>", "<titles>", "<script ", "<SELECT>", "</Style >"]
+    page = "".join(rng.choices(bits, k=rng.randrange(1, 25)))
+    assert ht.visible(page) == brute_visible(page)
+    import html
+
+    plain = ht._TAG.sub("", ht._BREAK.sub("\n", brute_visible(page)))
+    assert ht.lines_of(page) == [" ".join(html.unescape(x).split(" ")).strip() if "  " not in x else ht._BLANK.sub(" ", html.unescape(x)).strip() for x in plain.split("\n")]
+
+
 def test_time_is_linear_in_hostile_pages():
-    for page in ("<!-- " * 200_000, "<script " * 150_000, "<" * 1_000_000, "<p" * 500_000, "<a href='" * 200_000, "&#" * 400_000, "<script>x</script>" * 60_000):
+    for page in ("<!-- " * 200_000, "<script " * 150_000, "<" * 1_000_000, "<p" * 500_000, "<a href='" * 200_000, "&#" * 400_000, "<script>x</script>" * 60_000, "<title>" * 150_000, "<select>" * 100_000 + "<p>", "<svg><title>" * 80_000):
         began = time.time()
         ht.extract(page)
         assert time.time() - began < 8
