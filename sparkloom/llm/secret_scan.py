@@ -15,6 +15,7 @@ from .common import cut, pieces, record
 
 REACH = 400  # signs between parts of one credential, at most
 BITS_PER_SIGN = 3.0  # entropy of what may be a secret
+LETTERS_BITS = 4.0  # of a bare one of letters only, in both cases
 
 #: (kind, part, strong, pattern). The value is the group v, or the whole match.
 _ASSIGN = r"""["']?\s{0,3}(?:=|:|=>|:=)\s{0,3}["']?"""
@@ -36,13 +37,14 @@ RULES = [
     ("client_id", "id", False, re.compile(r"\b[0-9]{6,}-[a-z0-9]{10,}\.apps\.[a-z]+\.com\b"), ".apps."),
     ("assigned_id", "id", False, re.compile(r"(?i)(?:client_?-?id|access_?-?key_?-?id|user_?-?name|user|login|account(?:_?-?id)?|tenant_?-?id|app_?-?id)" + _ASSIGN + r"(?P<v>[A-Za-z0-9@._+-]{3,})"), None),
     ("url", "endpoint", False, re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,}"), "://"),
-    ("cloud_host", "endpoint", False, re.compile(r"(?<![a-z0-9.-])[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,10}\.(?:amazonaws|azure|windows|googleapis|cloudfront|rds|database)\.(?:com|net|org)\b"), "."),
+    ("cloud_host", "endpoint", False, re.compile(r"(?<![a-z0-9.-])[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63})*\.(?:amazonaws|azure|windows|googleapis|cloudfront|rds|database)\.(?:com|net|org)\b"), "."),
     ("assigned_host", "endpoint", False, re.compile(r"(?i)(?:host(?:name)?|endpoint|server|base_?-?url|region|bucket)" + _ASSIGN + r"(?P<v>[A-Za-z0-9._:/-]{3,})"), None),
     ("assigned_value", "secret", False, re.compile(_TELLING + _ASSIGN + r"""(?P<v>(?<=")[^"\n]{1,300}(?=")|(?<=')[^'\n]{1,300}(?=')|[^\s"'<>,;]+)"""), None),
-    ("bare_secret", "secret", False, re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[0-9+/_-]{0,200}[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"), None),
+    ("bare_secret", "secret", False, re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"), None),
 ]
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 _SIGN = re.compile(r"[:=]")
+_DIGIT, _LETTER, _LOWER, _UPPER = (re.compile(x) for x in ("[0-9]", "[A-Za-z]", "[a-z]", "[A-Z]"))
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -69,7 +71,9 @@ def parts(text: str) -> list[tuple]:
             if kind == "assigned_value" and (clash := taken.find(1, a, b)) >= 0:  # other parts follow without a blank
                 b = clash
                 value = text[a:b]
-            if kind in ("assigned_secret", "bare_secret") and (len(value) < 12 or entropy(value) < BITS_PER_SIGN or not re.search(r"[0-9]", value)):
+            if kind in ("assigned_secret", "bare_secret") and (len(value) < 12 or entropy(value) < BITS_PER_SIGN):
+                continue
+            if kind == "bare_secret" and not (_DIGIT.search(value) and _LETTER.search(value)) and not (_LOWER.search(value) and _UPPER.search(value) and entropy(value) >= LETTERS_BITS):
                 continue
             if a < b and 1 not in taken[a:b]:
                 taken[a:b] = b"\1" * (b - a)
@@ -116,9 +120,10 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     Parts are access identifiers, secrets and endpoints; start and end count signs from 0. ids, secrets, endpoints: how many
     parts of those kinds the interval join links to it, in its paragraph and within reach. Strong secrets (of a known form,
-    or assigned to a telling name, long and of high entropy) are always reported. Weak candidates (bare strings of high entropy; values of any length and
-    alphabet assigned to a telling name, and passwords in URLs; identifiers) are reported as "linked" where complementary parts co-occur: a secret with an identifier or endpoint, an identifier
-    or endpoint with a secret. A weak secret's links don't make an identifier of it alone. Values are given as hashes only.
+    or assigned to a telling name, of 12 signs or more and of high entropy, whatever its alphabet) are always reported. Weak
+    candidates (bare strings of high entropy, of letters and digits or of both cases; values of any length and alphabet assigned
+    to a telling name, and passwords in URLs; identifiers) are reported as "linked" where complementary parts co-occur: a secret
+    with an identifier or endpoint, an identifier or endpoint with a secret. Values are given as hashes only.
 
     Null and empty texts have no findings. Rows without doc_id are reported with a null. Rows repeated in id and text are
     reported once. An empty table gives no rows; other columns are not read.

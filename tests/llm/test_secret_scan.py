@@ -57,6 +57,27 @@ def test_interval_join_against_brute_force(spark):
     assert rows_of(ss.scan(make(spark, docs))) == brute(docs)
 
 
+def test_parts_of_a_line_by_hand():
+    text = f"host=db.example.com user: anna key {SECRET} {ID} https://u:pw12@h.example.com/x password = short"
+    got = {(k, p, text[a:b]) for k, p, _, a, b, _, _ in ss.parts(text)}
+    assert got == {("assigned_host", "endpoint", "db.example.com"), ("assigned_id", "id", "anna"), ("bare_secret", "secret", SECRET), ("aws_key_id", "id", ID), ("url_user", "id", "u"), ("url_password", "secret", "pw12"), ("url_host", "endpoint", "h.example.com/x"), ("assigned_value", "secret", "short")}
+
+
+def test_secrets_of_letters_and_long_runs(spark):
+    docs = [
+        (1, 'password = "correcthorsebatterystaple"'),
+        (2, f"{ID} " + "".join(chr(97 + 7 * i % 26) for i in range(210)) + "5"),
+        (3, f"{ID} wJalrXUtnFEMIKMDENGbPxRfiCYzQkLm"),
+        (4, f"{ID} internationalisationalism"),
+        (5, "password = aaaaaaaaaaaaaaaaaaaa"),
+        (6, f"{'.'.join('abcdefghijklm')}.rds.amazonaws.com {SECRET}"),
+    ]
+    got = {}
+    for r in ss.scan(make(spark, docs)).collect():
+        got.setdefault(r.doc_id, set()).add((r.kind, r.strength))
+    assert got == {1: {("assigned_secret", "strong")}, 2: {("aws_key_id", "linked"), ("bare_secret", "linked")}, 3: {("aws_key_id", "linked"), ("bare_secret", "linked")}, 6: {("cloud_host", "linked"), ("bare_secret", "linked")}}
+
+
 def test_values_are_not_shown(spark):
     for r in ss.scan(make(spark, [(1, f"{ID} {SECRET}")])).collect():
         assert SECRET not in str(r) and ID not in str(r)
@@ -65,7 +86,7 @@ def test_values_are_not_shown(spark):
 def test_hostile_texts_take_linear_time():
     import time
 
-    for text in ("a" * 400_000, "token" * 100_000, "a=" * 300_000, "A1" * 200_000, "x.y" * 150_000, "a-" * 200_000, "://" * 100_000, '"' * 200_000):
+    for text in ("a" * 400_000, "token" * 100_000, "a=" * 300_000, "A1" * 200_000, "x.y" * 150_000, "a-" * 200_000, "://" * 100_000, "a." * 200_000, "aB" * 200_000 + "===",  '"' * 200_000):
         began = time.time()
         ss.parts(text)
         assert time.time() - began < 8, text[:10]
@@ -92,11 +113,12 @@ def test_weak_passwords_are_reported_when_linked(spark):
     got = {}
     for r in ss.scan(make(spark, docs)).collect():
         got.setdefault(r.doc_id, set()).add((r.part, docs[r.doc_id - 1][1][r.start : r.end]))
-        assert r.strength == "linked"
+        assert (r.strength == "strong") == (r.doc_id in (2, 6) and r.part == "secret")  # long and of high entropy
     assert got == {
         1: {("endpoint", "db1.example.com"), ("id", "admin"), ("secret", "Tr0ub4dor&3")},
         2: {("id", "anna"), ("secret", "correct-horse-battery")},
         3: {("id", "admin"), ("secret", "Tr0ub4dor3xyzq"), ("endpoint", "db1/x")},
         4: {("id", "anna"), ("secret", "a b, c")},
         5: {("id", "anna"), ("secret", "x&user=")},
+        6: {("secret", "correct-horse-battery")},
     }
