@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from .common import _WORD, BROADCAST_BYTES, by_id, cut, fits, lists, pieces, raw, record, span_hashes
 
-REACH = 1 << 40  # tokens on either side of an entity within which terms co-occur with it: the whole document
-JOINT = 2  # distinct texts, at least, in which term and entity co-occur
+#: Distinct texts, at least, in which term and entity co-occur: from one alone every rare word of it would seem to reveal the entity.
+JOINT = 2
 GENERALISE, REMOVE = 0.6, 0.85  # disclosure from which on a term is generalised, or removed
 
 #: (kind, pattern, a sign that must occur)
 ENTITIES = [
     ("EMAIL", re.compile(r"[\w.+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"), "@"),
     ("IBAN", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"), None),
-    ("CARD", re.compile(r"(?<![0-9+])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"), None),
+    ("CARD", re.compile(r"(?<![0-9+])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])|(?<![0-9])\+(?:[0-9]{16,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"), None),
     ("IP", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"), "."),
     ("SSN", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), "-"),
     ("PHONE", re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{8,15}(?![0-9])"), None),

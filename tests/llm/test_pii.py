@@ -52,8 +52,8 @@ def window(text, found):
     out = []
     for a, b, _ in found:
         inside = lambda s: any(x <= s < y for x, y, _ in found)
-        before = [i for i, (s, _) in enumerate(tokens) if s < a][-pii.REACH :]
-        after = [i for i, (s, _) in enumerate(tokens) if s >= b][: pii.REACH]
+        before = [i for i, (s, _) in enumerate(tokens) if s < a]
+        after = [i for i, (s, _) in enumerate(tokens) if s >= b]
         out.append({text[slice(*tokens[i])].lower() for i in before + after if not inside(tokens[i][0])})
     return out
 
@@ -103,6 +103,7 @@ def test_frequencies_with_and_without_broadcast(spark):
         ("ssn 123-45-6789 not 2023-11-05", "ssn [SSN] not 2023-11-05"),
         ("card 4111 1111 1111 1111 and 4111111111111111", "card [CARD] and [CARD]"),
         ("tel +44 20 7946 0958, (020) 7946 0958 and +4915112345678", "tel [PHONE], [PHONE] and [PHONE]"),
+        ("plus +4111111111111111, +4111 1111 1111 1111, +411111111111111111 and +411111111111", "plus [CARD], [CARD], [CARD] and [PHONE]"),
         ("iban DE89 3704 0044 0532 0130 00 ok", "iban [IBAN] ok"),
         ("year 2023, 1 000 000 and 3.14", "year 2023, 1 000 000 and 3.14"),
     ],
