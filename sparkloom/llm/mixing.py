@@ -66,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_tokens: int
     """(shard, slot, source, block, epoch, n_tokens, doc_id, lang, text): one packed block for each slot.
 
     A token is a word with the blanks before it; a document has one more, its end. Each source is packed in lanes, which
-    hash its documents evenly; a lane's documents follow by doc_id, then text, and are cut every block_tokens tokens; a
+    hash its documents evenly; a lane's documents follow by doc_id, text, then lang, and are cut every block_tokens tokens; a
     lane's last block may be shorter. Blocks are numbered through a source's lanes. There are as many slots as blocks, by
     shard_slots in a shard (the last may have less). A shard's counts by source are multinomial over the weights. A
     source's slots are counted through the shards; the n-th is in epoch n div (its blocks), and gets the block of the epoch's
@@ -145,7 +145,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_tokens: int
 
 def _fill(left, right, block_tokens: int):
     """The blocks of one lane (left: its documents) that the slots (right) ask for by their places in it."""
-    left = left.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks() if len(left) else left
+    left = left.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")]).combine_chunks() if len(left) else left
     ids, langs, sources = (left.column(c).to_pylist() for c in ("doc_id", "lang", "source"))
     if None in ids:  # they come first
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
@@ -183,5 +183,6 @@ def _fill(left, right, block_tokens: int):
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The blocks of mix_sources as rows of documents: text is the block, n_chars its length."""
+    """The blocks of mix_sources as rows of documents: text is the block, n_chars its length; doc_id and lang are those of its first
+    document. Nulls, ties and repeated rows as in mix_sources; an empty table gives no rows."""
     return mix_sources(docs).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))

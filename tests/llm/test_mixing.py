@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import mixing as mx
 
@@ -35,6 +36,56 @@ def test_packing_keeps_every_token_once(spark, lane_tokens):
         assert all(r.n_tokens == 50 for r in own.values()) or lane_tokens < 10**9 or sum(r.n_tokens != 50 for r in own.values()) == 1
 
 
+def brute_mix(rows, weights, block_tokens, slots, seed=mx.SEED):
+    """(shard, slot, source, block, epoch, words) with one lane for each source: packing, drawing and joining by plain loops."""
+    blocks = {}
+    for s in sorted({r[2] for r in rows}):
+        flow = []
+        for _, text, _ in sorted(r for r in rows if r[2] == s):
+            if text.split():
+                flow += [*text.split(), None]  # the end of a document is a token
+        blocks[s] = [[w for w in flow[k : k + block_tokens] if w] for k in range(0, len(flow), block_tokens)]
+    return blocks, sum(map(len, blocks.values()))
+
+
+def test_blocks_slots_and_draws_by_brute_force(spark):
+    """Without lanes: every block's words, every shard's multinomial counts, and each source's n-th slot by the permutation of its epoch."""
+    rows, docs = corpus(spark)
+    weights = {"s0": 4, "s1": 1, "s2": 0.5, "s3": 0}
+    blocks, total = brute_mix(rows, weights, 50, 8)
+    out = mx.mix_sources(docs, weights=weights, lane_tokens=10**9, **SMALL).collect()
+    assert len(out) == total and {r.source for r in out} == {"s0", "s1", "s2"}
+    for r in out:
+        assert r.text.split() == blocks[r.source][r.block] and r.n_tokens in (50, len(blocks[r.source][r.block]) + 1, len(blocks[r.source][r.block]))
+    key = {r["source"]: r["k"] for r in docs.selectExpr("source", "xxhash64(source) k").distinct().collect()}
+    order = sorted((s for s in weights if weights[s]), key=key.get)
+    share = np.array([weights[s] for s in order]) / sum(weights.values())
+    got = {(r.shard, r.slot): r for r in out}
+    at = dict.fromkeys(order, 0)
+    shards = -(-total // 8)
+    for shard in range(shards):
+        n = total - 8 * (shards - 1) if shard == shards - 1 else 8
+        rng = np.random.default_rng([mx.SEED, shard])
+        counts = rng.multinomial(n, share)
+        places = rng.permutation(n).tolist()
+        for s, c in zip(order, counts):
+            for _ in range(c):
+                r, size = got.pop((shard, places.pop(0))), len(blocks[s])
+                epoch = at[s] // size
+                want = mx.permute(np.array([at[s] % size]), size, hash((mx.SEED, order.index(s), epoch)))[0]
+                assert (r.source, r.epoch, r.block) == (s, epoch, want)
+                at[s] += 1
+    assert not got
+
+
+def test_ties_are_broken_by_all_that_is_shown(spark):
+    rows = [(1, "a b c", "s")] * 3 + [(1, "a b c d", "s")]
+    docs = make(spark, rows, extra=False).withColumn("lang", F.concat(F.lit("l"), (F.monotonically_increasing_id() % 3).cast("string")))
+    docs = spark.createDataFrame([tuple(r) for r in docs.collect()], docs.schema)
+    one = sorted(map(tuple, mx.mix_sources(docs, block_tokens=2, shard_slots=3).collect()))
+    assert one == sorted(map(tuple, mx.mix_sources(docs.repartition(3, "lang").sort(F.desc("lang")), block_tokens=2, shard_slots=3).collect()))
+
+
 def test_no_block_twice_before_all_others(spark):
     _, docs = corpus(spark)
     out = mx.mix_sources(docs, weights={"s0": 30, "s1": 1, "s3": 1}, **SMALL).collect()
