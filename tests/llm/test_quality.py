@@ -59,6 +59,37 @@ def test_dual_coordinate_descent_meets_the_conditions_of_the_optimum():
     assert all(loss(w) <= loss(w + 0.01 * rng.normal(size=41)) + 1e-3 for _ in range(200))
 
 
+def test_scores_by_brute_force(spark):
+    """Whole documents with plain sets and loops: indicators, their ratios from counts, unit length, margins."""
+    from sparkloom.llm.common import Tokens, doc_grams, lowered, record
+
+    rows, labels = labelled(80)
+    known = spark.createDataFrame(labels[:50], "doc_id long, quality int, toxic int")
+    docs = make(spark, rows)
+    model = qc.train(docs, known)
+    got = {r.doc_id: r for r in qc.classify(docs, known).collect()}
+    bags = []
+    for _, text in rows:
+        tok = Tokens(*lowered(record("text", [text])), symbols=True)
+        bags.append({int(i) >> 40 - qc.FEATURE_BITS for k in (1, 2) for i in doc_grams(tok, k)[1]})
+    for head, column in (("quality", 1), ("toxic", 2)):
+        size, inside, outside = 1 << qc.FEATURE_BITS, {}, {}
+        for bag, label in zip(bags, labels[:50]):
+            side = inside if label[column] else outside
+            for f in bag:
+                side[f] = side.get(f, 0) + 1
+        p, q = size + sum(inside.values()), size + sum(outside.values())
+        ratio = lambda f: np.log((1 + inside.get(f, 0)) / p / ((1 + outside.get(f, 0)) / q))  # noqa: B023, E731
+        w, squares, bias = model[head]
+        for (d, _), bag in zip(rows, bags):
+            assert all(abs(squares[f] - ratio(f) ** 2) < 1e-3 for f in bag)
+            score = sum(float(w[f]) for f in bag) / max(sum(ratio(f) ** 2 for f in bag) ** 0.5, 1e-9) + bias
+            assert getattr(got[d], f"{head}_score") == pytest.approx(score, abs=1e-3)
+        # Each labelled document's margin is that of the fitted machine: on the right side for nearly all of them.
+        right = [(getattr(got[d], f"{head}_score") > 0) == bool(label[column]) for (d, _), label in zip(rows[:50], labels[:50])]
+        assert np.mean(right) > 0.95
+
+
 def test_ratios_by_hand():
     r = qc.log_count_ratios(np.array([0, 1, 1, 2]), np.array([0, 0, 1, 1]), np.array([True, False]))
     size = 1 << qc.FEATURE_BITS
