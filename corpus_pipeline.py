@@ -14,28 +14,29 @@ from sparkloom.llm.sharding import assign_shards
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of low quality, toxic ones and those without text go."""
+    """Documents of low quality, toxic ones and those without text (null, empty, blank) go; rows without an id and repeated rows are judged each."""
     return keep_accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, and one row of a repeated id; rows without an id or a token stay."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain benchmark items, in one passage or in several, go."""
+    """Documents that contain benchmark items, in one passage or in several, go; each row, with an id or without, by its own text."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of the sources, drawn to their target weights, as rows of documents."""
+    """Blocks of the sources, drawn to their target weights, as rows of documents; a null source is one source. No documents give no blocks."""
     return mixed_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every block with its shard."""
-    return assign_shards(docs)
+    """Every block with its shard: by a hash of the block, so that every shard draws from all sources as the blocks do, and blocks of
+    one document part. No blocks give no shards."""
+    return assign_shards(docs, whole=True)
 
 
 STAGES = [

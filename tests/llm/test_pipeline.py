@@ -45,6 +45,23 @@ def test_stages_take_effect_one_after_another(spark, sf):
     assert near_duplicates(kept[2]).count() <= 0.1 * len(want) + 1
 
 
+def test_shards_keep_the_mix(spark, tmp_path, monkeypatch):
+    """Sources by shard after the last stage: each shard's shares are those of all blocks, but for chance; one long document parts."""
+    from sparkloom.llm import sharding
+
+    rows = [(i, prose(i, 400), f"s{i % 3}") for i in range(90)] + [(500, prose(500, 40_000), "s0")]
+    blocks = cut(cp.mixing(spark, make(spark, rows, extra=False), ""))
+    out = sharding.assign_shards(blocks, 60_000, whole=True).collect()
+    assert {r.shard for r in out} and len({r.shard for r in out if r.doc_id == 500}) > 1
+    whole = collections.Counter(r.source for r in out)
+    for shard in {r.shard for r in out}:
+        own = collections.Counter(r.source for r in out if r.shard == shard)
+        n = sum(own.values())
+        for s, c in whole.items():
+            share = c / len(out)
+            assert abs(own[s] - n * share) <= 5 * (n * share * (1 - share)) ** 0.5 + 1
+
+
 def test_run_repeats_itself(spark, sf):
     a, b = (sorted(map(str, cp.run(spark, sf).collect())) for _ in "ab")
     assert a == b and a
