@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: set[str] = set()
+#: Bytes of files that keep a core busy without further ado.
+SPLIT_BYTES = 64 << 20
 
 
 def folder(spark: SparkSession) -> str:
-    """A subfolder of spark.checkpoint.dir; that is set to a new temporary one only where it is unset, as in local tests."""
+    """A subfolder of spark.checkpoint.dir, or of the context's checkpoint folder. Only a local master may go without either: its
+    executors see the same disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (known := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        base = known.get()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     own = f"{base}/loom-{spark.sparkContext.applicationId}"
@@ -36,3 +44,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if it is so small that files alone would keep most of them idle; larger ones stay as they
+    are. Rows are the same."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.lineage import written
-from ..sources import code
+from ..sources import code, dsl
 from . import graph, layout
 
 COLUMNS, WIDTH = 5, 100
@@ -141,7 +141,8 @@ def records(spaces: DataFrame, found: DataFrame, edges: DataFrame, root: str) ->
     out = top
     for part in (own, rows, flat):
         out = out.unionByName(part, allowMissingColumns=True)
-    return out.withColumn("graph_id", F.lit(root)).withColumns({"error": F.lit(None).cast("string"), "states": F.lit(None).cast("array<string>")})
+    out = out.withColumns({"graph_id": F.lit(root), "error": F.lit(None).cast("string"), "states": F.lit(None).cast("array<string>"), "ord": F.monotonically_increasing_id()})
+    return out.select("graph_id", "error", *[f.split()[0] for f in dsl.RECORDS.split(", ")])
 
 
 def sidecar(meta: DataFrame, typed: DataFrame) -> DataFrame:

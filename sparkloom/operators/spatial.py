@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
+
 
 def world(nodes: DataFrame) -> DataFrame:
     """nodes (x, depth) with z = 2 ** max(depth, 1), u = x z, v = ln z."""
@@ -30,13 +32,39 @@ def overlapping(rects: DataFrame, others: DataFrame, cells: int = 16) -> DataFra
     return a.join(b, ["cx", "cy"]).filter(meet).select("id", "other").distinct()
 
 
-def nearest(rects: DataFrame, k: int = 4) -> DataFrame:
-    """(id, other, distance, place): the k nearest other centres of each, ties by id; every rectangle is compared with all."""
-    centre = rects.select("id", (F.col("x") + F.col("w") / 2).alias("a"), (F.col("y") + F.col("h") / 2).alias("b"))
-    other = centre.select(F.col("id").alias("other"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    pairs = centre.crossJoin(other).filter("id <> other").withColumn("distance", F.hypot(F.col("a") - F.col("a2"), F.col("b") - F.col("b2")))
+def nearest(rects: DataFrame, k: int = 4, per_cell: int = 8) -> DataFrame:
+    """(id, other, distance, place): the k nearest other centres of each, ties by id.
+
+    Centres meet on a grid with about per_cell of them to a cell. Those of the ring of cells r around are compared; who has k within
+    r cells is done, the others go on with a ring twice as wide, until it spans the grid.
+    """
+    centre = written(rects.select("id", (F.col("x") + F.col("w") / 2).alias("a"), (F.col("y") + F.col("h") / 2).alias("b")))
+    n, ax, bx, ay, by = centre.agg(F.count("*"), F.min("a"), F.max("a"), F.min("b"), F.max("b")).first()
+    if not n:
+        return centre.select("id", F.col("id").alias("other"), F.lit(0.0).alias("distance"), F.lit(1).alias("place"))
+    side = max(1, int((n / per_cell) ** 0.5))
+    size = max((bx - ax) / side, (by - ay) / side, 1e-9)
+    cell = lambda v, low: F.floor((F.col(v) - F.lit(low)) / F.lit(size))
+    grid = written(centre.withColumns({"cx": cell("a", ax), "cy": cell("b", ay)}))
+    wide = int(max((bx - ax) / size, (by - ay) / size)) + 1
+    other = grid.select(F.col("id").alias("other"), F.col("a").alias("a2"), F.col("b").alias("b2"), "cx", "cy")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 9), "other"))
-    return pairs.withColumn("place", place).filter(F.col("place") <= k).select("id", "other", "distance", "place")
+    todo, done, r = grid, None, 1
+    while True:
+        ring = lambda c: F.explode(F.sequence(F.col(c) - r, F.col(c) + r))  # noqa: B023, E731
+        around = todo.select("id", "a", "b", ring("cx").alias("cx"), "cy").select("id", "a", "b", "cx", ring("cy").alias("cy"))
+        found = around.join(other, ["cx", "cy"]).filter("id <> other").withColumn("distance", F.hypot(F.col("a") - F.col("a2"), F.col("b") - F.col("b2")))
+        best = written(found.withColumn("place", place).filter(F.col("place") <= k).select("id", "other", "distance", "place"))
+        if r >= wide:
+            return best if done is None else done.unionByName(best)
+        # Nothing outside the ring is nearer than r cells.
+        sure = written(best.filter((F.col("place") == k) & (F.col("distance") < r * size)).select("id"))
+        own = best.join(sure, "id", "left_semi")
+        done = own if done is None else done.unionByName(own)
+        todo = written(todo.join(sure, "id", "left_anti"))
+        if todo.isEmpty():
+            return done
+        r *= 2
 
 
 def upsert(rects: DataFrame, changes: DataFrame) -> DataFrame:

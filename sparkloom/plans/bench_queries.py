@@ -203,13 +203,30 @@ def anchor_report(t):
     return rank_v1.report(_old(t), _old_found(t), _edges(t), t.derived(ISSUES))
 
 
-CASES = """SELECT item_id AS case_id, {0}(concat('src/a', item_id % 7, '.py'), concat('/src/b', item_id % 5, '.py'), concat('x\\\\c', item_id % 3, '.py')) AS predicted, {0}(concat('b', item_id % 4, '.py'), concat('c', item_id % 2, '.py')) AS gold FROM benchmark"""
+CASES = """SELECT item_id AS case_id, CASE WHEN item_id % 11 = 0 THEN {0}() ELSE {0}(concat('src/a', item_id % 7, '.py'), concat('/src/b', item_id % 5, '.py'), concat('x', chr(92), 'c', item_id % 3, '.py'), 'd.py') END AS predicted, CASE WHEN item_id % 9 = 0 THEN {0}() ELSE {0}(concat('b', item_id % 4, '.py'), concat('c', item_id % 2, '.py'), concat('lib/d', CASE WHEN item_id % 6 = 0 THEN '' ELSE 'x' END, '.py')) END AS gold FROM benchmark"""
+_CASES = r"WITH c AS (SELECT case_id, list_transform(predicted, lambda p: trim(replace(p, '\', '/'), '/')) AS p, gold AS g FROM (" + CASES.format("list_value") + ")), "
 
 
-@query("nav_metrics", r"""WITH c AS (SELECT case_id, list_transform(predicted, lambda p: trim(replace(p, '\', '/'), '/')) AS p, gold AS g FROM (""" + CASES.format("list_value").replace("\\\\", "\\") + r""")), m AS (SELECT case_id, len(p) AS n, list_position(list_transform(p, lambda x: len(list_filter(g, lambda y: ends_with(x, y))) > 0), true) AS k FROM c)
- SELECT case_id, coalesce(k, 0) > 0 AS hit, coalesce(k, 0) = 1 AS hit1, CASE WHEN coalesce(k, 0) > 0 THEN k - 1 ELSE n END::BIGINT AS rot FROM m""")
+def _cases(t):
+    return t.derived(CASES.format("array"))
+
+
+@query("nav_metrics", _CASES + """m AS (SELECT case_id, len(p) = 0 OR len(g) = 0 AS none, len(p) AS n, coalesce(list_position(list_transform(p, lambda x: len(list_filter(g, lambda y: ends_with(x, y))) > 0), true), 0) AS k FROM c)
+ SELECT case_id, NOT none AND k > 0 AS hit, NOT none AND k = 1 AS hit1, CASE WHEN none THEN 'inf'::DOUBLE WHEN k > 0 THEN k - 1 ELSE n END::DOUBLE AS rot FROM m""")
 def nav_metrics(t):
-    return metrics.navigation(t.derived(CASES.format("array")))
+    return metrics.navigation(_cases(t))
+
+
+@query("trace_hits", _CASES + "m AS (SELECT case_id, list_transform(p, lambda x: len(list_filter(g, lambda y: ends_with(x, y) OR ends_with(y, x))) > 0) AS m FROM c) SELECT case_id, list_contains(m, true) AS hit, coalesce(m[1], false) AS hit1, list_contains(m[:3], true) AS hit3 FROM m")
+def trace_hits(t):
+    return metrics.trace_hits(_cases(t))
+
+
+@query("test_commands", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'echo "NO_TESTS_SPECIFIED"' WHEN 1 THEN 'python -m pytest -xvs "t/a.py::T::m' || page_id || '" || RESULT=1' WHEN 2 THEN 'python -m django test app.T --settings=tests.test_settings -v 2 2>/dev/null || python tests/runtests.py app.T.m' || page_id || ' -v 2 || RESULT=1'
+ ELSE 'python tests/runtests.py all -v 2 || RESULT=1' || chr(10) || 'python -m pytest -xvs "x::y" || RESULT=1' END AS commands FROM pages""")
+def test_commands(t):
+    tests = t.derived("SELECT page_id, CASE page_id % 4 WHEN 0 THEN CAST(array() AS array<string>) WHEN 1 THEN array(concat('t/a.py::T::m', page_id)) WHEN 2 THEN array(concat('app.T.m', page_id)) ELSE array('all', 'x::y') END AS tests FROM pages")
+    return tests.select("page_id", metrics.test_commands(F.col("tests")).alias("commands"))
 
 
 RUNS = "SELECT doc_id AS case_id, quality = 1 AS hit, quality = 1 AND toxic = 0 AS hit1, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id % 6 END AS rot, (doc_id % 5) * 700 AS tokens, 129652 AS control, CASE WHEN doc_id % 13 = 0 THEN 'timeout' END AS error FROM labels"
@@ -224,11 +241,49 @@ def bench_summary(t):
 CALLS = "SELECT user_id AS case_id, CASE event_type WHEN 'click' THEN 'blast' WHEN 'view' THEN 'locate' WHEN 'signup' THEN 'expand' ELSE 'rg' END AS tool, event_id % 3 > 0 AS success, event_id % 500 AS tokens FROM events"
 
 
-@query("solve_mode", f"WITH u AS (SELECT case_id, coalesce(list(DISTINCT tool) FILTER (success), []) AS used, count(*)::BIGINT AS n_calls, sum(tokens)::BIGINT AS tokens FROM ({CALLS}) GROUP BY case_id) SELECT case_id, CASE WHEN used = ['blast'] THEN 'blast_only' WHEN list_contains(used, 'rg') AND NOT list_has_any(used, ['locate', 'expand']) THEN 'blast+rg' WHEN list_contains(used, 'locate') AND NOT list_contains(used, 'rg') THEN 'blast+locate' WHEN len(used) > 2 THEN 'multi_tool' ELSE 'unknown' END AS mode, n_calls, tokens FROM u")
+_COUNTS = ", ".join(f"count(*) FILTER (tool = '{t}')::BIGINT AS {t}" for t in metrics.TOOLS)
+_MODES = f"WITH u AS (SELECT case_id, coalesce(list(DISTINCT tool) FILTER (success), []) AS used, count(*)::BIGINT AS n_calls, sum(tokens)::BIGINT AS tokens, {_COUNTS} FROM ({CALLS}) GROUP BY case_id), md AS (SELECT case_id, CASE WHEN used = ['blast'] THEN 'blast_only' WHEN list_contains(used, 'rg') AND NOT list_has_any(used, ['locate', 'expand']) THEN 'blast+rg' WHEN list_contains(used, 'locate') AND NOT list_contains(used, 'rg') THEN 'blast+locate' WHEN len(used) > 2 THEN 'multi_tool' ELSE 'unknown' END AS mode, n_calls, tokens, {', '.join(metrics.TOOLS)} FROM u)"
+
+
+@query("solve_mode", f"{_MODES} SELECT * FROM md")
 def solve_mode(t):
     return metrics.solve_modes(t.derived(CALLS))
 
 
+def _runs(t):
+    """What the tool calls came to; hits and errors by the case's number."""
+    return metrics.solve_modes(t.derived(CALLS)).withColumnRenamed("n_calls", "calls").withColumns({"hit": F.col("case_id") % 2 == 0, "hit1": F.col("case_id") % 6 == 0, "hit3": F.col("case_id") % 4 == 0, "error": F.when(F.col("case_id") % 7 == 0, "timeout")})
+
+
+_RUN = f"{_MODES}, rn AS (SELECT *, n_calls AS calls, case_id % 2 = 0 AS hit, case_id % 6 = 0 AS hit1, case_id % 4 = 0 AS hit3 FROM md WHERE case_id % 7 <> 0)"
+
+
+@query("comparison", f"{_RUN} SELECT (SELECT count(*) FROM md)::BIGINT AS total, count(*)::BIGINT AS completed, round(avg(hit1::INT), 6) AS hit1_rate, round(avg(hit3::INT), 6) AS hit3_rate, round(avg(hit::INT), 6) AS hit_rate, round(avg(tokens), 6) AS tokens, round(avg(calls), 6) AS calls, round(avg((mode = 'blast_only')::INT), 6) AS blast_only_rate, round(avg(contains(mode, 'rg')::INT), 6) AS rg_rate, round(avg(contains(mode, 'locate')::INT), 6) AS locate_rate, round(50000 / avg(tokens), 6) AS compression FROM rn")
+def comparison(t):
+    out = metrics.comparison(_runs(t))
+    return out.select("total", "completed", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("total", "completed")])
+
+
+@query("mode_distribution", f"{_RUN} SELECT mode, count(*)::BIGINT AS cases, round(count(*) / (SELECT count(*) FROM rn)::DOUBLE, 6) AS share, round(avg(hit::INT), 6) AS hit_rate FROM rn GROUP BY mode")
+def mode_distribution(t):
+    return metrics.distribution(_runs(t), "mode").select("mode", "cases", F.round("share", 6).alias("share"), F.round("hit_rate", 6).alias("hit_rate"))
+
+
+_KNOWN = "SELECT 'mini' AS name, 1 AS ord, CAST(0.35 AS DOUBLE) AS rate UNION ALL SELECT 'a/mini', 2, CAST(0.30 AS DOUBLE) UNION ALL SELECT 'b/large', 3, CAST(0.40 AS DOUBLE)"
+_MODELS = "SELECT DISTINCT CASE page_id % 5 WHEN 0 THEN 'mini' WHEN 1 THEN 'a/mini' WHEN 2 THEN 'large' WHEN 3 THEN concat('x/b/large') ELSE concat('other', page_id % 10) END AS model FROM pages"
+
+
+@query("baseline_lookup", f"WITH k AS ({_KNOWN}), m AS ({_MODELS}) SELECT model, arg_min(name, (model <> name)::INT * 10 + ord) AS name, arg_min(rate, (model <> name)::INT * 10 + ord) AS rate FROM m LEFT JOIN k ON ends_with(model, name) OR ends_with(name, model) GROUP BY model")
+def baseline_lookup(t):
+    return metrics.baselines(t.derived(_MODELS), t.spark.sql(_KNOWN))
+
+
+@query("summary_table", f"WITH s AS (SELECT count(*) AS total, count(*) FILTER (error IS NULL) AS completed FROM ({RUNS})) SELECT 0 AS ord, '| Metric | Value |' AS line UNION ALL SELECT 1, '|---|---:|' UNION ALL SELECT 2, '| Cases | ' || total || ' |' FROM s UNION ALL SELECT 3, '| Completed | ' || completed || ' |' FROM s")
+def summary_table(t):
+    """The first rows; the others' numbers are those of bench_summary."""
+    return metrics.table_of(metrics.summary(t.derived(RUNS))).filter("ord < 4")
+
+
 @query("control_tokens", "SELECT doc_id, least(80000 + 5 * length(text), 200000)::BIGINT AS tokens FROM documents")
 def control_tokens(t):
     return t("documents").select("doc_id", metrics.control_tokens(F.col("text")).alias("tokens"))

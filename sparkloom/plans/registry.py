@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lineage import spread
+
+#: Tables of whose rows much is computed.
+TEXTS = ("documents", "pages", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,7 +21,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in TEXTS else df
 
     def derived(self, sql: str) -> DataFrame:
         import re

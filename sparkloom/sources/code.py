@@ -8,6 +8,7 @@ import os
 import re
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,7 +24,7 @@ _OPERATIONS = frozenset(f"{verb}{what}" for verb, things in {"Create": "Model",
 
 
 class SourceFiles(DataSource):
-    """spark.read.format("loomsources").load(folder): (path, content) of the .py files of a folder that all workers see.
+    """spark.read.format("loomsources").load(folder): (path, content) of the .py files of a folder (a path or URI) that all workers see.
 
     Built-in file formats hide names that begin with an underscore, and so package files.
     """
@@ -36,24 +37,41 @@ class SourceFiles(DataSource):
         return "path string, content string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Files(self.options["path"].removeprefix("file://"))
+        return _Files(self.options["path"])
+
+
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:")))
+
+
+def files_below(path: str, keep) -> tuple[fs.FileSystem, str, list[str]]:
+    """The file system of a path or URI, the folder in it, and the paths of the files below (relative, sorted) that keep admits."""
+    system, root = place(path)
+    infos = system.get_file_info(fs.FileSelector(root, recursive=True))
+    names = sorted(i.path[len(root) :].lstrip("/") for i in infos if i.type == fs.FileType.File)
+    return system, root, keep(names)
 
 
 class _Files(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, path: str):
+        self.path = path
+
+    @staticmethod
+    def _keep(names: list[str]) -> list[str]:
+        below = {n[: -len(m) - 1] for n in names for m in MARKERS if n.endswith("/" + m)} | {n.partition("/Lib/site-packages/")[0] for n in names if "/Lib/site-packages/" in n}
+        folders = lambda n: [n[:k] for k, c in enumerate(n) if c == "/"]
+        return [n for n in names if n.endswith(".py") and not any(f in below or f.rpartition("/")[2] in paths.SKIPPED for f in folders(n))]
 
     def partitions(self):
-        files = []
-        for folder, below, names in os.walk(self.root):
-            below[:] = sorted(d for d in below if d not in paths.SKIPPED and not any(os.path.exists(os.path.join(folder, d, m)) for m in MARKERS))
-            files += [os.path.relpath(os.path.join(folder, n), self.root).replace(os.sep, "/") for n in sorted(names) if n.endswith(".py")]
-        return [InputPartition(files[i : i + 256]) for i in range(0, len(files), 256)]
+        _, _, found = files_below(self.path, self._keep)
+        return [InputPartition(found[i : i + 256]) for i in range(0, len(found), 256)]
 
     def read(self, partition):
+        system, root = place(self.path)
         for path in partition.value:
-            with open(os.path.join(self.root, path), encoding="utf-8-sig", errors="replace") as f:
-                yield path, f.read()
+            with system.open_input_stream(f"{root}/{path}") as f:
+                yield path, f.readall().decode("utf-8-sig", "replace")
 
 
 def scan(spark: SparkSession, path: str, ignore: list[str] | None = None) -> DataFrame:
@@ -197,25 +215,68 @@ def spans(content: str) -> list[tuple[str, int, int]]:
     return [(k, *v) for k, v in out.items()]
 
 
-def locate(content: str, locator: str) -> tuple[int, int] | None:
-    """The lines of a dotted locator: exact, else by the only symbol that ends with it."""
-    found = {s: (a, b) for s, a, b in spans(content)}
-    if locator in found:
-        return found[locator]
-    ends = {v for s, v in found.items() if s.endswith("." + locator)}
-    return ends.pop() if len(ends) == 1 else None
+def locators(content: str) -> dict[str, ast.AST]:
+    """Dotted names of classes and functions, nested ones too."""
+    out: dict[str, ast.AST] = {}
+
+    def walk(body: list, prefix: str) -> None:
+        for node in body:
+            if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+                out[prefix + node.name] = node
+                walk(node.body, f"{prefix}{node.name}.")
+
+    try:
+        walk(ast.parse(content or "").body, "")
+    except _BROKEN:
+        return {}
+    return out
+
+
+def locate(content: str, locator: str) -> dict | None:
+    """Where a dotted locator stands: by its whole name, else by the only one that ends with it; null if there is none, or several.
+
+    line_start, line_end from 1; char_start, char_end and byte_start, byte_end from 0. Columns of the syntax tree are bytes of
+    their line, and are turned into signs.
+    """
+    found = locators(content)
+    name = locator if locator in found else None
+    if name is None:
+        ends = [n for n in found if n.endswith("." + locator)]
+        if len(ends) != 1:
+            return None
+        name = ends[0]
+    node, lines = found[name], content.splitlines(keepends=True)
+
+    def at(line: int, column: int) -> int:
+        return sum(map(len, lines[: line - 1])) + len(lines[line - 1].encode()[:column].decode("utf-8", "replace"))
+
+    a, b = at(node.lineno, node.col_offset), at(node.end_lineno, node.end_col_offset)
+    return {"locator": name, "line_start": node.lineno, "line_end": node.end_lineno, "char_start": a, "char_end": b, "byte_start": len(content[:a].encode()), "byte_end": len(content[:b].encode())}
 
 
 def edit(content: str, locator: str, old: str, new: str) -> str | None:
-    """content with the only occurrence of old within the located lines replaced; null if there is no such place, or several."""
-    at = locate(content, locator)
+    """content with the only occurrence of old within the located span replaced; null if there is no such place, or several. A byte order
+    mark at the beginning stays."""
+    mark, body = ("\ufeff", content[1:]) if content and content[0] == "\ufeff" else ("", content or "")
+    at = locate(body, locator)
     if at is None or not old:
         return None
-    lines = content.splitlines(keepends=True)
-    scope = "".join(lines[at[0] - 1 : at[1]])
+    scope = body[at["char_start"] : at["char_end"]]
     if scope.count(old) != 1:
         return None
-    return "".join(lines[: at[0] - 1]) + scope.replace(old, new) + "".join(lines[at[1] :])
+    return mark + body[: at["char_start"]] + scope.replace(old, new) + body[at["char_end"] :]
+
+
+def edits(wanted: DataFrame) -> DataFrame:
+    """wanted (path, content, locator, old, new) with the span found and the edited content, nulls where there is none. Files aren't written."""
+
+    def run(frames):
+        for f in frames:
+            spots = [locate((c or "").removeprefix("\ufeff"), x or "") for c, x in zip(f.content, f.locator)]
+            done = [edit(c, x or "", o or "", n or "") for c, x, o, n in zip(f.content, f.locator, f.old, f.new)]
+            yield pd.DataFrame({"path": f.path, "locator": f.locator, **{k: pd.array([s and s[k] for s in spots], "Int64") for k in ("line_start", "line_end", "char_start", "char_end", "byte_start", "byte_end")}, "edited": done})
+
+    return wanted.select("path", "content", "locator", "old", "new").mapInPandas(run, "path string, locator string, line_start long, line_end long, char_start long, char_end long, byte_start long, byte_end long, edited string")
 
 
 def _window(low: int, high: int, focus: int, most: int) -> tuple[int, int]:

@@ -183,19 +183,22 @@ class GraphSource(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self):
-        import glob
-        import os
+        from .code import files_below
 
-        return [InputPartition(f) for f in sorted(glob.glob(os.path.join(self.path, "**"), recursive=True)) if os.path.isfile(f)]
+        return [InputPartition(n) for n in files_below(self.path, list)[2]]
 
     def read(self, partition):
-        with open(partition.value, encoding="utf-8-sig", errors="replace") as f:
-            text = f.read()
+        from .code import place
+
+        system, root = place(self.path)
+        name = f"{root}/{partition.value}"
+        with system.open_input_stream(name) as f:
+            text = f.readall().decode("utf-8-sig", "replace")
         try:
             for r in parse(text):
-                yield (partition.value, None, *[r.get(k) for k in _FIELDS])
+                yield (name, None, *[r.get(k) for k in _FIELDS])
         except ParseError as e:
-            yield (partition.value, str(e), *[None] * len(_FIELDS))
+            yield (name, str(e), *[None] * len(_FIELDS))

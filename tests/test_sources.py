@@ -70,7 +70,13 @@ def test_references_spans_edits_and_snippets():
     assert code.references("def (:\nimport x.y") == [("import", "x.y")]
     assert code.references(None) == []
     assert code.spans(SOURCE) == [("Child", 4, 6), ("Child.go", 5, 6), ("go", 5, 6), ("free", 8, 9)]
-    assert code.locate(SOURCE, "go") == (5, 6) and code.locate(SOURCE, "absent") is None
+    go = code.locate(SOURCE, "go")
+    assert (go["locator"], go["line_start"], go["line_end"], SOURCE[go["char_start"] : go["char_end"]].split("\n")[0]) == ("Child.go", 5, 6, "def go(self):") and code.locate(SOURCE, "absent") is None
+    odd = "class É:\n    def é(self): x = 'ü'; return 1\ndef g():\n    def é(): pass\n"
+    at = code.locate(odd, "É.é")
+    assert odd[at["char_start"] : at["char_end"]] == odd.encode()[at["byte_start"] : at["byte_end"]].decode() == "def é(self): x = 'ü'; return 1"
+    assert code.locate(odd, "é") is None and code.locate(odd, "g.é")["line_start"] == 4
+    assert code.edit("\ufeff" + odd, "É.é", "return 1", "return 2") == "\ufeff" + odd.replace("return 1", "return 2")
     assert code.edit(SOURCE, "free", "return 1", "return 2").endswith("return 2\n")
     assert code.edit(SOURCE, "Child.go", "return 1", "x") is None
     assert code.edit(SOURCE, "Child", "e", "x") is None
