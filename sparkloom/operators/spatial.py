@@ -19,7 +19,7 @@ def containing(rects: DataFrame, points: DataFrame) -> DataFrame:
     return overlapping(rects, points.select(F.col("point_id").alias("other"), F.col("px").alias("x2"), F.col("py").alias("y2"), F.lit(0.0).alias("w2"), F.lit(0.0).alias("h2"))).select(F.col("other").alias("point_id"), "id")
 
 
-def overlapping(rects: DataFrame, others: DataFrame, cells: int = 16) -> DataFrame:
+def overlapping(rects: DataFrame, others: DataFrame) -> DataFrame:
     """(id, other) of rectangles (x, y, w, h) and (x2, y2, w2, h2) that touch, edges included.
 
     Cells are as large as rectangles are wide and high on average; both sides explode into those that they touch.
