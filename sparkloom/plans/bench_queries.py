@@ -238,7 +238,7 @@ def bench_summary(t):
     return out.select("total", "completed", *[F.round(c, 6).alias(c) for c in ("hit_rate", "hit1_rate", "rot", "tokens", "control", "reduction")])
 
 
-CALLS = "SELECT user_id AS case_id, CASE event_type WHEN 'click' THEN 'blast' WHEN 'view' THEN 'locate' WHEN 'signup' THEN 'expand' ELSE 'rg' END AS tool, event_id % 3 > 0 AS success, event_id % 500 AS tokens FROM events"
+CALLS = "SELECT user_id AS case_id, CASE WHEN user_id % 6 = 0 THEN 'blast' WHEN user_id % 6 = 1 AND event_type = 'click' THEN 'rg' WHEN user_id % 6 = 1 THEN 'blast' WHEN user_id % 6 = 2 AND event_type = 'view' THEN 'locate' WHEN user_id % 6 = 2 THEN 'blast' WHEN user_id % 6 = 3 THEN 'expand' WHEN event_type = 'click' THEN 'blast' WHEN event_type = 'view' THEN 'locate' WHEN event_type = 'signup' THEN 'expand' ELSE 'rg' END AS tool, event_id % 3 > 0 AS success, event_id % 500 AS tokens FROM events"
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (tool = '{t}')::BIGINT AS {t}" for t in metrics.TOOLS)
