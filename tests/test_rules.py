@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import paths, text
 from sparkloom.operators import rank, select
 
-STOP = {"their", "should", "without", "uses", "used", "self", "test", "tests", "issue", "fix", "bug", "error", "exception", "traceback", "case", "expected", "actual", "and", "are", "can", "does", "for", "from", "get", "into", "its", "not", "that", "the", "this", "when", "with", "while", "use"}
+STOP = set("actual and are bug can case does error exception expected fix for from get into issue its not self should test tests that the their this traceback use used uses when while with without".split())
 TEXTS = [
     'File "a\\b.py", line 3, in f.g then C:\\x\\Y.py:7:2 and q/z.py:9, Q/Z.py:9 File "k.py", line 4',
     "`  Foo.bar ` is Foo.Bar, foo.bar; core.models.E028 fields.w12 auth.E0033x ünder.E001 a.E0012",
