@@ -107,7 +107,7 @@ def one_row_per_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return by_id(docs, repeated, "left_anti", key).unionByName(once)
 
 
-# --- tokens -----------------------------------------------------------------
+# Tokens.
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
