@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, by_id, cut, doc_grams, lists, lowered, mix, one_row_per_id, pieces, record
+from .common import Tokens, by_id, cut, doc_grams, fits, lists, lowered, mix, one_row_per_id, pieces, record
 from .components import components
 
 K = 3  # tokens of a shingle
@@ -17,6 +18,9 @@ THRESHOLD = 0.5  # weighted Jaccard similarity of near copies
 BANDS, ROWS = 16, 3
 BLOCK = 1024  # groups of a bucket that are compared with as many others at once
 SLACK = 0.2  # by so much less than the threshold may the samples of two texts agree that are compared exactly
+SLOT = 1_500_000  # shingles of prefixes that meet in one task
+FAR = 1e30
+MEETINGS = 2_000_000  # pairs of them that are looked at at once
 SKETCH_BITS, SKETCH_ROWS = 19, 2  # document frequencies: at most (shingles a text) / 2**19 of the texts too high
 
 _rng = np.random.default_rng(7)
@@ -77,8 +81,11 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 def weights(ids: np.ndarray, counts: np.ndarray, n: int, sketch: np.ndarray) -> np.ndarray:
     """TF-IDF: count x ln(1 + n / document frequency). ids: mixed."""
-    df = np.minimum.reduce([sketch[r][cells(ids, r)] for r in range(SKETCH_ROWS)])
-    return counts * np.log1p(n / np.maximum(df, 1)).astype(np.float32)
+    return counts * np.log1p(n / np.maximum(frequencies(ids, sketch), 1)).astype(np.float32)
+
+
+def frequencies(ids: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    return np.minimum.reduce([sketch[r][cells(ids, r)] for r in range(SKETCH_ROWS)])
 
 
 def signature(ids: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -99,6 +106,10 @@ def signature(ids: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def _content(data: np.ndarray, offsets: np.ndarray, d: int) -> bytes:
+    return hashlib.blake2b(data[offsets[d] : offsets[d + 1]], digest_size=16).digest()
+
+
 def _signatures(n: int, sketch):
     def run(batches):
         for batch in pieces(batches):
@@ -115,7 +126,7 @@ def _signatures(n: int, sketch):
                 sample = signature(ids[own], w[own])
                 samples.append((sample >> np.uint64(56)).astype(np.uint8).tobytes())
                 keys[row] = mix((sample * _BAND).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                content[row] = np.frombuffer(hashlib.blake2b(data[offsets[d] : offsets[d + 1]], digest_size=16).digest(), np.int64)
+                content[row] = np.frombuffer(_content(data, offsets, d), np.int64)
             yield record("id c0 c1 bands samples", batch.column("doc_id").take(pa.array(full)), content[:, 0], content[:, 1], lists(keys.view(np.int64).ravel(), np.full(len(full), BANDS)), pa.array(samples, pa.binary()))
 
     return run
@@ -195,15 +206,147 @@ def _between(apart: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
     return met.groupBy("place").applyInArrow(lambda table: _alike(least)(table), "a long, b long").distinct()
 
 
+def _prefixes(n: int, sketch, threshold: float, slots: int):
+    """Each text's prefix, by slots of shingles: the rarest shingles, up to where less than the threshold of its weight is left.
+
+    Shingles are in one order for all texts, by frequency and id, so the first that two near copies share is in both prefixes.
+    A row holds those of some texts in one slot, packed: id, label, weight, frequency at the prefix's end and number of shingles of
+    each text; then id, weight and share of the text's weight from there on of each shingle, rounded up.
+    """
+
+    def run(batches):
+        for batch in pieces(batches):
+            data, offsets = lowered(batch)
+            doc, ids, counts = doc_grams(Tokens(data, offsets), K)
+            skip = np.zeros(batch.num_rows, bool)
+            for d, hashes in enumerate(batch.column("copies").to_pylist()):
+                skip[d] = bool(hashes) and np.frombuffer(_content(data, offsets, d), np.int64)[0] in hashes
+            keep = ~skip[doc]
+            doc, ids, counts = doc[keep], ids[keep], counts[keep]
+            if not len(doc):
+                continue
+            mixed = mix(ids)
+            w, df = weights(mixed, counts, n, sketch.value), frequencies(mixed, sketch.value)
+            order = np.lexsort((ids, df, doc))
+            doc, ids, mixed, w, df = doc[order], ids[order], mixed[order], w[order].astype(np.float64), df[order]
+            start = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            sums = np.concatenate([[0], np.cumsum(w)])
+            total = sums[start[1:]] - sums[start[:-1]]
+            left = sums[start[doc + 1]] - sums[:-1]
+            at = np.flatnonzero(left >= threshold * total[doc] * (1 - 1e-6))
+            size = np.bincount(doc[at], minlength=batch.num_rows)
+            last = np.maximum(start[:-1] + size - 1, 0)  # a text's prefix are its first shingles
+            last = np.minimum(last, len(doc) - 1)
+            end = df[last]
+            slot = (mixed[at] % np.uint64(slots)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            at, slot = at[order], slot[order]
+            edge = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1], [True]]))
+            own, label = (batch.column(c).to_numpy() for c in ("doc_id", "label"))
+            rows = []
+            for x, y in zip(edge, edge[1:]):
+                i = at[x:y]
+                texts, count = np.unique(doc[i], return_counts=True)
+                share = np.ceil(left[i] / total[doc[i]] * 65535).clip(0, 65535).astype(np.uint16)
+                with np.errstate(over="ignore"):
+                    high = (w[i] * 1.001).astype(np.float16)
+                key = ids[i].view(np.uint8).reshape(-1, 8)[:, :5]
+                rows.append((len(texts), len(i), _pack([own[texts], label[texts] - own[texts], total[texts].astype(np.float32), end[texts].astype(np.float32), count.astype(np.uint32), key, high, share])))
+            yield record("slot texts shingles data", slot[edge[:-1]], *[pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))])
+
+    return run
+
+
+_KINDS = ("i8", "i8", "f4", "f4", "u4"), ("V5", "f2", "u2")  # of each text, of each shingle
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    return pa.Codec("zstd", 1).compress(b"".join(c.tobytes() for c in columns), asbytes=True)
+
+
+def _unpack(texts: int, shingles: int, data: bytes) -> list[np.ndarray]:
+    sizes = [(np.dtype(k), n) for kinds, n in zip(_KINDS, (texts, shingles)) for k in kinds]
+    flat, at, out = pa.Codec("zstd").decompress(data, sum(k.itemsize * n for k, n in sizes), asbytes=True), 0, []
+    for kind, n in sizes:
+        out.append(np.frombuffer(flat, kind, n, at))
+        at += kind.itemsize * n
+    return out
+
+
+def _meet(threshold: float):
+    """(a, b, common, lack) of the texts of different labels that share shingles of their prefixes in a slot, if their weights allow.
+
+    common: the weight shared there; lack: what near copies share of both prefixes at least, or FAR if none of the shingles leaves
+    as much from there on as near copies share, as the first that they share does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        parts = [_unpack(*row) for row in zip(*(table.column(c).to_pylist() for c in ("texts", "shingles", "data")))]
+        own, label, total, end, count, raw_key, weight, share = (np.concatenate(c) for c in zip(*parts))
+        label = own + label
+        text, key = np.repeat(np.arange(len(own)), count), np.zeros((len(weight), 8), np.uint8)
+        key[:, :5] = raw_key.view(np.uint8).reshape(-1, 5)
+        key = key.view(np.uint64).ravel()
+        order = np.lexsort((label[text], key))
+        key, text, weight, share = key[order], text[order], weight[order].astype(np.float32), share[order]
+        total = total.astype(np.float64)
+        rest = total * threshold * (1 + 1e-5)  # what is left beyond a prefix, at most
+        tag = label[text]
+        new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        run_ends = np.flatnonzero(new | np.concatenate([[True], tag[1:] != tag[:-1], [True]]))
+        key_ends = np.flatnonzero(new)
+        after = np.repeat(run_ends[1:], np.diff(run_ends))  # each meets those of its key from there on, whose labels are others
+        n = np.repeat(key_ends[1:], np.diff(key_ends)) - after
+        some = np.flatnonzero(n)
+        at = 0
+        sums = np.cumsum(n[some])
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + MEETINGS, "right")))
+            i = np.repeat(some[at:to], n[some[at:to]])
+            first = np.cumsum(n[some[at:to]]) - n[some[at:to]]
+            j = after[i] + np.arange(len(i)) - np.repeat(first, n[some[at:to]])
+            at = to
+            need = threshold / (1 + threshold) * (total[text[i]] + total[text[j]]) * (1 - 1e-4)
+            fit = np.minimum(total[text[i]], total[text[j]]) >= need
+            i, j, need = i[fit], j[fit], need[fit]
+            x, y = text[i], text[j]
+            early = np.minimum(total[x] * share[i], total[y] * share[j]) >= need * 65535
+            beyond = np.where(end[x] < end[y], rest[x], np.where(end[x] > end[y], rest[y], np.maximum(rest[x], rest[y])))
+            a, b = np.minimum(own[x], own[y]), np.maximum(own[x], own[y])
+            lack = np.where(early, np.maximum(need - beyond, 0), FAR)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+            if len(edge):
+                low = np.minimum(weight[i], weight[j]).astype(np.float64)[order]
+                yield record("a b common lack", a[edge], b[edge], (np.add.reduceat(low, edge) * (1 + 1e-6)).astype(np.float32), (np.minimum.reduceat(lack[order], edge) * (1 - 1e-6)).astype(np.float32))
+
+    return run
+
+
+def _missed(known: DataFrame, copies: DataFrame, label: DataFrame, n: int, sketch, threshold: float) -> DataFrame:
+    """Exactly the pairs (a, b) of different labels (node, label) that reach the threshold, by prefixes; known rows whose contents (id, c0) are copies are left out."""
+    marks = label.select(F.col("node").alias("__id"), "label", F.lit(None).cast("long").alias("c0")).unionByName(copies.select(F.col("id").alias("__id"), F.lit(None).cast("long").alias("label"), "c0"))
+    marks = cut(marks.groupBy("__id").agg(F.max("label").alias("label"), F.collect_set("c0").alias("copies")))
+    side = F.broadcast(marks) if fits(marks, 64) else marks
+    rows = known.join(side, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce("label", "doc_id").alias("label"), "copies")
+    slots = int(sketch.value[0].sum(dtype=np.float64) / 2 / SLOT) + 1
+    packed = rows.mapInArrow(_prefixes(n, sketch, threshold, slots), "slot long, texts long, shingles long, data binary")
+    met = packed.groupBy("slot").applyInArrow(_meet(threshold), "a long, b long, common float, lack float")
+    sums = met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("lack").alias("lack"))
+    return _verified(cut(sums.filter((F.col("lack") < FAR / 2) & (F.col("common") >= F.col("lack"))).select("a", "b")), known, n, sketch, threshold)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept_id): every document that has near copies, but the one of the least id of its group, with that one.
 
     Shingles of K tokens weigh count x ln(1 + N / df). Two documents are near copies if the weighted Jaccard similarity
-    is at least the threshold; groups are the connected components. Candidates share a band of ROWS consistent weighted
-    samples: a pair of similarity s is met with probability 1 - (1 - s**3)**16, which is 0.88 at 0.5, 0.98 at 0.6. Each
-    document of a bucket is compared with its first; of the groups that this leaves apart, one document each is compared with those of
-    the others, by their samples, in blocks; only those that may reach the threshold are pairs, and are compared exactly.
-    Texts that are equal in lower case are one before that, so thousands of copies cost one comparison.
+    is at least the threshold; groups are the connected components. First, most groups are found by bands of ROWS consistent
+    weighted samples: each document of a bucket is compared with its first; of the groups that this leaves apart, one document
+    each is compared with those of the others, by their samples, in blocks. That misses pairs; so all documents that are still
+    in different groups meet by prefix filtering, which misses none, and those that may reach the threshold are compared
+    exactly. Texts that are equal in lower case are one before that, so thousands of copies cost one comparison.
 
     Null and empty texts, and texts without a token, have no shingles and no copies. Rows without doc_id count in the
     frequencies only. Repeated rows of a doc_id count once here. An empty table gives no rows; other columns are not read.
@@ -214,7 +357,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = docs.filter("doc_id is not null")
     signed = cut(known.mapInArrow(_signatures(n, sketch), "id long, c0 long, c1 long, bands array<long>, samples binary"))
     first = cut(signed.groupBy("c0", "c1").agg(F.min(F.struct("id", "bands", "samples")).alias("first")).select("c0", "c1", F.col("first.id").alias("rep"), "first.bands", "first.samples"))
-    alike = cut(signed.select("id", "c0", "c1").join(first.select("c0", "c1", "rep"), ["c0", "c1"]).filter("id <> rep").select("id", "rep").distinct())
+    alike = cut(signed.select("id", "c0", "c1").join(first.select("c0", "c1", "rep"), ["c0", "c1"]).filter("id <> rep").select("id", "rep", "c0").distinct())
     rows = first.select("rep", F.explode("bands").alias("key"))
     leads = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1").drop("size")
     rows = cut(rows.join(leads, "key"))
@@ -225,6 +368,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     new = _between(cut(apart.select("key", "rep")), first, threshold)
     more = _verified(cut(new.join(pairs, ["a", "b"], "left_anti")), known, n, sketch, threshold)
     label = components(edges.unionByName(more).unionByName(alike.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
+    missed = _missed(known, alike, label, n, sketch, threshold)
+    label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(missed))
     return label.select(F.col("node").alias("doc_id"), F.col("label").alias("kept_id"))
 
 

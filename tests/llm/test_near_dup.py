@@ -62,6 +62,35 @@ def test_groups_against_brute_force(spark):
     assert not got.keys() - want.keys()
 
 
+@pytest.mark.parametrize("slot, meetings", [(1_500_000, 2_000_000), (300, 50)])
+def test_no_link_is_left_out(spark, monkeypatch, slot, meetings):
+    """Pairs just above the threshold, and copies and repeated ids of their texts: groups are those of brute force over all pairs."""
+    monkeypatch.setattr(nd, "SLOT", slot)
+    monkeypatch.setattr(nd, "MEETINGS", meetings)
+    texts = []
+    for g in range(100):
+        texts += [prose(g, 60 + g % 90), near(g, 0.1 + 0.0003 * g, 60 + g % 90)]
+        texts += [texts[-1].upper()] * (g % 3)
+    texts += [f"{prose(2000 + k, 30)} {prose(k, 60 + k % 90)}" for k in range(40)]
+    random.Random(5).shuffle(texts)
+    pairs = brute_pairs(texts, nd.THRESHOLD)
+    assert sum(s < 0.6 for s in pairs.values()) > 40
+    want = groups(len(texts), pairs)
+    got = {r.doc_id: r.kept_id for r in nd.near_duplicates(make(spark, list(enumerate(texts)))).collect()}
+    assert got == want
+
+
+def test_a_repeated_id_links_by_each_of_its_texts(spark):
+    """The second text of an id is no copy, though its first is."""
+    rows = [(i, t) for g in range(20) for i, t in ((1000 + g, prose(g, 120)), (3000 + g, prose(500 + g, 120)), (2000 + g, prose(g, 120)), (2000 + g, near(500 + g, 0.1)))]
+    texts = [t for _, t in rows]
+    pairs = brute_pairs(texts, nd.THRESHOLD)
+    ids = sorted({i for i, _ in rows})
+    want = groups(len(ids), {tuple(sorted((ids.index(rows[i][0]), ids.index(rows[j][0])))) for i, j in pairs if rows[i][0] != rows[j][0]})
+    got = {r.doc_id: r.kept_id for r in nd.near_duplicates(make(spark, rows)).collect()}
+    assert got == {ids[i]: ids[j] for i, j in want.items()}
+
+
 def test_real_documents_against_brute_force(spark, sf):
     rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet' order by doc_id").fetchall()
     want = groups(len(rows), brute_pairs([t for _, t in rows], nd.THRESHOLD))
