@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, cut, doc_grams, filter_rows, lists, lowered, pieces, record
+from .common import Tokens, cut, doc_grams, filter_rows, lists, lowered, pieces, record, release
 
 FEATURE_BITS = 18
 #: The fit uses so many labelled documents at most: those whose ids have the least hashes.
@@ -76,6 +76,8 @@ def _train(table):
         w, s, b = fit([rows[i] for i in own], np.array([label[i] > 0 for i in own], bool))
         for k, v in zip(out, (head, w.tobytes(), s.tobytes(), b)):
             out[k].append(v)
+    del rows
+    release()
     return pa.table({"head": out["head"], "weights": pa.array(out["weights"], pa.binary()), "squares": pa.array(out["squares"], pa.binary()), "bias": out["bias"]})
 
 

@@ -3,7 +3,7 @@ import collections
 import duckdb
 
 import corpus_pipeline as cp
-from sparkloom.llm.common import cut
+from sparkloom.llm.common import cut, record
 from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.near_dup import near_duplicates
 from sparkloom.llm.quality import classify
@@ -45,6 +45,23 @@ def test_stages_take_effect_one_after_another(spark, sf):
     assert near_duplicates(kept[2]).count() <= 0.1 * len(want) + 1
 
 
+def test_long_rows_reach_workers_in_small_batches(spark, tmp_path):
+    """However many rows a batch may have, it holds few bytes after the first stage has read its tables; smaller limits stay."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    make(spark, [(i, prose(i, 10)) for i in range(9)], extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    before = spark.conf.get(key)
+    try:
+        cp.quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        sizes = spark.range(0, 3000, 1, 1).selectExpr("repeat(string(id % 10), 10000) text").mapInArrow(lambda batches: (record("n", [b.nbytes] * b.num_rows) for b in batches), "n long").collect()
+        assert len(sizes) == 3000 and max(r.n for r in sizes) < 6 << 20
+        spark.conf.set(key, 1000)
+        cp.quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_shards_keep_the_mix(spark, tmp_path, monkeypatch):
     """Sources by shard after the last stage: each shard's shares are those of all blocks, but for chance; one long document parts."""
     from sparkloom.llm import sharding
