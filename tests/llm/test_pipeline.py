@@ -11,7 +11,7 @@ from sparkloom.llm.sharding import LIMIT_BYTES
 
 from .conftest import make, odd_rows, prose
 from .test_decontaminate import brute as brute_tiles_of
-from .test_near_dup import brute_pairs, groups
+from .test_near_dup import brute_pairs, groups, near
 
 
 def test_stages_take_effect_one_after_another(spark, sf):
@@ -45,6 +45,14 @@ def test_stages_take_effect_one_after_another(spark, sf):
     assert near_duplicates(kept[2]).count() <= 0.1 * len(want) + 1
 
 
+def test_no_near_copy_just_above_the_threshold_stays(spark):
+    """The stage keeps one document of each group that brute force over all pairs finds."""
+    texts = [t for g in range(100) for t in (prose(g, 60 + g % 90), near(g, 0.1 + 0.0003 * g, 60 + g % 90))]
+    gone = groups(len(texts), brute_pairs(texts, 0.5))
+    kept = cp.near_duplicates(spark, make(spark, list(enumerate(texts)), extra=False), "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [i for i in range(len(texts)) if i not in gone]
+
+
 def test_long_rows_reach_workers_in_small_batches(spark, tmp_path):
     """However many rows a batch may have, it holds few bytes after the first stage has read its tables; smaller limits stay."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
