@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, and one row of a repeated id; rows without an id or a token stay."""
+    """One document of each group of near copies stays, of rows without an id too, and one row of a repeated id; rows without a token stay."""
     return drop_near_duplicates(docs)
 
 

@@ -1,9 +1,12 @@
 import collections
+import itertools
 
 import duckdb
+import numpy as np
 
 import corpus_pipeline as cp
-from sparkloom.llm.common import cut, record
+from sparkloom.llm import near_dup as nd
+from sparkloom.llm.common import Tokens, cut, doc_grams, lowered, record
 from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.near_dup import near_duplicates
 from sparkloom.llm.quality import classify
@@ -53,6 +56,46 @@ def test_no_near_copy_just_above_the_threshold_stays(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [i for i in range(len(texts)) if i not in gone]
 
 
+def test_near_copies_by_true_frequencies(spark):
+    """Texts with so many shingles that the sketch of frequencies is far too high: near copies are those of the exact ones, neither fewer
+    (the pairs that differ in frequent passages) nor more (those that share them)."""
+    long = [prose(f"long {k}", 40_000, 10**6) for k in range(90)]
+    often = [prose(f"often {k}", 300) for k in range(6)]
+    texts = []
+    for g in range(80):
+        passages = [" ".join(often[(g + k) % 6].split()[: 70 + g * 3 // 4]) for k in (0, 1 + g % 5)]
+        texts += [f"{prose(g, 100)} {p}" for p in passages]
+    for g in range(80):
+        passage = " ".join(often[g % 6].split()[: 100 + g * 15 // 8])
+        texts += [f"{prose(f'{g} {k}', 50)} {passage}" for k in range(2)]
+    every = texts + long
+    grams = [doc_grams(Tokens(*lowered(record("text", [t]))), nd.K)[1:] for t in every]
+    ids, at, df = np.unique(np.concatenate([i for i, _ in grams]), return_inverse=True, return_counts=True)
+    idf = dict(zip(ids[at[: sum(len(i) for i, _ in grams[: len(texts)])]].tolist(), np.log1p(len(every) / df[at]).tolist()))
+    w = [(i, np.array([idf[x] for x in i.tolist()]) * c) for i, c in grams[: len(texts)]]
+    pairs = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if nd.similarity(w[i], w[j]) >= 0.5}
+    gone = groups(len(texts), pairs)
+    assert 20 < len(gone) < 140
+    kept = cp.near_duplicates(spark, make(spark, list(enumerate(every)), extra=False), "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [i for i in range(len(every)) if i not in gone]
+
+
+def test_near_copies_without_an_id(spark):
+    """Rows without an id go if a document with one is a near copy; of groups that have none, one row stays."""
+    rows = [(i, prose(i, 120)) for i in range(20)] + [(i, None) for i in (100, None, None)] + [(None, "?!"), (None, "?!")]
+    rows += [(None, near(g, 0.02 * k)) for g in range(10, 30) for k in range(3)] + [(200 + g, prose(g, 120).upper()) for g in range(25, 30)]
+    rows += [(None, prose(900, 120))]
+    docs = make(spark, rows)
+    kept = cp.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    kept = collections.Counter((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect())
+    named = {k for k in kept if k[0] is not None}
+    assert named == {r for r in rows if r[0] is not None}
+    assert kept[None, None] == kept[None, "?!"] == 2 and kept[None, prose(900, 120)] == 1
+    assert sum(kept[None, t] for t in {near(g, 0.02 * k) for g in range(20, 25) for k in range(3)}) == 5
+    assert sum(kept.values()) == len(named) + 10
+
+
 def test_long_rows_reach_workers_in_small_batches(spark, tmp_path):
     """However many rows a batch may have, it holds few bytes after the first stage has read its tables; smaller limits stay."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
