@@ -167,8 +167,8 @@ _ASKED, _TOLD = (("i8", "i8", "i8", "u4"), ("V5", "u4", "u4")), ((), ("V5", "u4"
 def _judge(n: int, sketch, threshold: float, slots: int):
     """(a, b) of the pairs of texts that reach the threshold whatever the true document frequencies are, which the sketch bounds.
 
-    If there are slots, rows of those that may reach it too, packed by slots of shingles: ids, a hash of the two texts and number of
-    shingles of each pair; then id, less and greater count of each shingle.
+    And those that may reach it: without slots, with 0 as slot; else packed by slots of shingles: ids, a hash of the two texts and number
+    of shingles of each pair; then id, less and greater count of each shingle.
     """
 
     def run(batches):
@@ -191,12 +191,15 @@ def _judge(n: int, sketch, threshold: float, slots: int):
                 slack = 1e-6 * float(high @ most)
                 if float(np.where(gain > 0, low, high) @ gain) > slack:
                     sure.append(i)
-                elif slots and float(np.where(gain > 0, high, low) @ gain) >= -slack:
+                elif float(np.where(gain > 0, high, low) @ gain) >= -slack:
                     texts = np.frombuffer(b"".join(_content(*t, i) for t in raw_texts), np.uint64)
                     unsure.append((i, mix(texts + np.arange(4, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64), ids, less, most))
             if sure:
                 yield _rows(a=own[0][sure], b=own[1][sure])
-            if unsure:
+            if unsure and not slots:
+                at = [u[0] for u in unsure]
+                yield _rows(a=own[0][at], b=own[1][at], slot=[0] * len(at))
+            elif unsure:
                 at, texts = np.array([u[0] for u in unsure]), np.array([u[1] for u in unsure], np.int64)
                 pair = np.repeat(np.arange(len(unsure)), [len(u[2]) for u in unsure])
                 ids, less, most = (np.concatenate([u[c] for u in unsure]) for c in (2, 3, 4))
@@ -318,9 +321,17 @@ def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
 
 
-def _sure(pairs: DataFrame, docs: DataFrame, n: int, sketch, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose texts reach the threshold whatever the true document frequencies are."""
-    return cut(_with_texts(pairs, docs).mapInArrow(_judge(n, sketch, threshold, 0), _JUDGED).select("a", "b"))
+def _compared(pairs: DataFrame, docs: DataFrame, n: int, sketch, threshold: float) -> DataFrame:
+    """(a, b, sure) of the pairs of ids whose texts may reach the threshold; sure: they do, whatever the true document frequencies are."""
+    return cut(_with_texts(pairs, docs).mapInArrow(_judge(n, sketch, threshold, 0), _JUDGED).select("a", "b", F.col("slot").isNull().alias("sure")))
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b), once each, whose labels (node, label) differ."""
+    for c in "ab":
+        own = label.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+        pairs = pairs.join(own, c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+    return cut(pairs.filter("label_a <> label_b").select("a", "b").distinct())
 
 
 def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, n: int, sketch, threshold: float, slots: int) -> DataFrame:
@@ -489,20 +500,24 @@ def _meet(threshold: float):
     return run
 
 
-def _missed(known: DataFrame, copies: DataFrame, label: DataFrame, docs: DataFrame, n: int, sketch, threshold: float) -> DataFrame:
-    """Exactly the pairs (a, b) of different labels (node, label) that reach the threshold, by prefixes; known rows whose contents (id, c0) are copies are left out."""
+def _missed(known: DataFrame, copies: DataFrame, label: DataFrame, done: DataFrame, docs: DataFrame, n: int, sketch, threshold: float, slots: int) -> DataFrame:
+    """Exactly the pairs (a, b) of different labels (node, label) that reach the threshold, by prefixes; known rows whose contents (id, c0) are copies
+    and the pairs that are done are left out."""
     marks = label.select(F.col("node").alias("__id"), "label", F.lit(None).cast("long").alias("c0")).unionByName(copies.select(F.col("id").alias("__id"), F.lit(None).cast("long").alias("label"), "c0"))
     marks = cut(marks.groupBy("__id").agg(F.max("label").alias("label"), F.collect_set("c0").alias("copies")))
     side = F.broadcast(marks) if fits(marks, 64) else marks
     rows = known.join(side, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce("label", "doc_id").alias("label"), "copies")
-    slots = int(sketch.value[0].sum(dtype=np.float64) / 2 / SLOT) + 1
     packed = rows.mapInArrow(_prefixes(n, sketch, threshold, slots), "slot long, texts long, shingles long, data binary")
     met = packed.groupBy("slot").applyInArrow(_meet(threshold), "a long, b long, common float, lack float")
     sums = met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("lack").alias("lack"))
-    may = cut(sums.filter((F.col("lack") < FAR / 2) & (F.col("common") >= F.col("lack"))).select("a", "b"))
+    may = cut(sums.filter((F.col("lack") < FAR / 2) & (F.col("common") >= F.col("lack"))).select("a", "b").join(done, ["a", "b"], "left_anti"))
     return _verified(may, known, docs, n, sketch, threshold, slots)
 
 
+def _links(label: DataFrame) -> DataFrame:
+    return label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kept_id): every document that has near copies, but the one of the least id of its group, with that one.
 
@@ -527,14 +542,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     leads = rows.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).filter("size > 1").drop("size")
     rows = cut(rows.join(leads, "key"))
     pairs = cut(rows.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
-    edges = _sure(pairs, known, n, sketch, threshold)
-    label = components(edges)
+    led = _compared(pairs, known, n, sketch, threshold)
+    label = components(led.filter("sure").select("a", "b"))
     apart = rows.join(label, F.col("rep") == F.col("node"), "left").groupBy("key", F.coalesce("label", "rep").alias("group")).agg(F.min("rep").alias("rep"))
     new = _between(cut(apart.select("key", "rep")), first, threshold)
-    more = _sure(cut(new.join(pairs, ["a", "b"], "left_anti")), known, n, sketch, threshold)
-    label = components(edges.unionByName(more).unionByName(alike.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
-    missed = _missed(known, alike, label, docs, n, sketch, threshold)
-    label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(missed))
+    met = _compared(cut(new.join(pairs, ["a", "b"], "left_anti")), known, n, sketch, threshold)
+    found = led.unionByName(met)
+    label = components(found.filter("sure").select("a", "b").unionByName(alike.select(F.col("rep").alias("a"), F.col("id").alias("b"))))
+    slots = int(frequencies[0].sum(dtype=np.float64) / 2 / SLOT) + 1
+    asked = _apart(found.filter("not sure").select("a", "b"), label)
+    label = components(_links(label).unionByName(_verified(asked, known, docs, n, sketch, threshold, slots)))
+    missed = _missed(known, alike, label, asked, docs, n, sketch, threshold, slots)
+    label = components(_links(label).unionByName(missed))
     return label.select(F.col("node").alias("doc_id"), F.col("label").alias("kept_id"))
 
 
