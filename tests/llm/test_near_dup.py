@@ -1,9 +1,11 @@
 import itertools
 import math
 import random
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import near_dup as nd
@@ -100,6 +102,28 @@ def test_real_documents_against_brute_force(spark, sf):
     assert not got.keys() - want.keys()
 
 
+def test_prefixes_over_many_slots_stay_small():
+    """What is shuffled of the prefixes hardly grows with the slots, of which larger tables have more."""
+    texts = [prose(k, 120, 10**6) for k in range(300)]
+    ids = np.arange(300) * 7919 + 10**12
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array(ids), pa.array([None] * 300, pa.list_(pa.int64()))], ["doc_id", "text", "label", "copies"])
+    sketch = SimpleNamespace(value=np.ones((nd.SKETCH_ROWS, 1 << nd.SKETCH_BITS), np.float32))
+    size = [sum(len(x) for out in nd._prefixes(300, sketch, nd.THRESHOLD, slots)([batch]) for x in out.column("data").to_pylist()) for slots in (1, 42)]
+    assert size[1] < 1.5 * size[0]
+
+
+def test_the_sketch_widens_with_the_texts():
+    """About as many shingles share a cell of a small table as of one five times as large."""
+    bits = [nd.sketch_bits(x) for x in (0, 200 << 20, 1000 << 20, 1 << 50)]
+    assert bits == sorted(bits) and bits[0] == nd.SKETCH_BITS < bits[2] and bits[3] == nd.SKETCH_MOST
+
+
+def test_what_is_rounded_keeps_its_side():
+    x = np.concatenate([[0], np.exp(np.random.default_rng(1).uniform(-18, 27, 10_000))])
+    assert (nd._full(nd._brief(x, np.floor)) <= x * (1 + 1e-9)).all() and (nd._full(nd._brief(x, np.ceil)) * (1 + 1e-9) >= x).all()
+    assert (np.diff(nd._brief(np.sort(x), np.ceil).astype(int)) >= 0).all()
+
+
 def test_samples_meet_with_the_probability_of_the_similarity():
     rng = np.random.default_rng(5)
     ids = np.sort(rng.choice(1 << 40, 600, replace=False).astype(np.uint64))
