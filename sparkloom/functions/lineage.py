@@ -8,10 +8,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: set[str] = set()
 #: Bytes of files that keep a core busy without further ado.
 SPLIT_BYTES = 64 << 20
+#: Rows of keys up to which a side of a join is broadcast.
+FEW_ROWS = 500_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -46,6 +49,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, read into every task by joins if it has few rows."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many tasks as there are cores, if it is so small that files alone would keep most of them idle; larger ones stay as they
     are. Rows are the same."""

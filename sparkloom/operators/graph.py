@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import written
+from ..functions.lineage import few, written
 
 PRIORS = {"import": 0.12, "call": 0.28, "inherit": 0.32, "descriptor": 0.34, "config-ref": 0.41, "migration-of": 0.18, "test-of": 0.05}
 OTHER_PRIOR, DECAY, DAMPING = 0.1, 0.82, 0.85
@@ -91,26 +91,28 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30) -> DataFr
     """(node, rank) after so many iterations. Parallel edges add up; edges of no weight or unknown ends don't count; the mass
     of nodes without out-edges spreads evenly. edges: (src, dst, weight).
 
-    Edges are partitioned by source once; each round moves ranks and partial sums only. Sources of very many edges are spread
-    over several keys. Every round is written, so plans don't grow.
+    Nodes are numbered, and edges are partitioned and sorted by source once; each round moves ranks and partial sums only. Sources
+    of very many edges are spread over several keys. Every round is written, so plans don't grow.
     """
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes = nodes.select("node").filter("node is not null").distinct()
-    known = written(edges.filter("weight > 0").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    named = written(nodes.select("node").filter("node is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
+    ends = lambda c: named.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+    known = edges.filter("weight > 0").select("src", "dst", "weight").join(ends("src"), "src").select("src_id", "dst", "weight").join(ends("dst"), "dst")
+    known = written(known.groupBy(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")).agg(F.sum("weight").alias("weight")))
     out = written(known.groupBy("src").agg(F.sum("weight").alias("whole"), F.ceil(F.count("*") / KEY_EDGES).cast("int").alias("keys")))
-    state = written(nodes.join(out.select(F.col("src").alias("node"), "keys"), "node", "left"))
+    state = written(named.select("id").join(out.select(F.col("src").alias("id"), "keys"), "id", "left"))
     n = state.count()
     # Persisted from written tables: a lost executor's part is computed again from those.
-    steps = known.join(out, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("keys")).cast("int").alias("key"), "dst", (F.col("weight") / F.col("whole")).alias("share")).repartition(parts, "src", "key").persist()
+    steps = known.join(out, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("keys")).cast("int").alias("key"), "dst", (F.col("weight") / F.col("whole")).alias("share")).repartition(parts, "src", "key").sortWithinPartitions("src", "key").persist()
     rank = written(state.withColumn("rank", F.lit(1.0 / max(n, 1))))
     for _ in range(iterations):
         loose = rank.filter("keys is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        sent = rank.filter("keys is not null").select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"), "rank")
+        sent = rank.filter("keys is not null").select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"), "rank")
         flow = sent.join(steps, ["src", "key"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        rank = written(rank.join(flow, rank.node == flow.dst, "left").select("node", "keys", ((1 - DAMPING) / n + DAMPING * (F.coalesce("flow", F.lit(0.0)) + loose / n)).alias("rank")))
+        rank = written(rank.join(flow, rank.id == flow.dst, "left").select("id", "keys", ((1 - DAMPING) / n + DAMPING * (F.coalesce("flow", F.lit(0.0)) + loose / n)).alias("rank")))
     steps.unpersist()
-    return rank.select("node", "rank")
+    return rank.join(named, "id").select("node", "rank")
 
 
 def rank_cap(ranks: DataFrame) -> DataFrame:
@@ -150,13 +152,25 @@ def in_degrees(edges: DataFrame) -> DataFrame:
 
 
 def expand(edges: DataFrame, ranks: DataFrame, seeds: DataFrame, hops: int, most: int) -> DataFrame:
-    """(seed, node, weight, place): each seed and its neighbourhood, by the weight of direct edges, cut to most rows a seed."""
-    near = khop(edges, seeds, hops, "both")
-    direct = directed(edges, "both").withColumn("p", prior(F.col("edge_type"))).groupBy("src", "dst").agg(F.max("p").alias("p"))
-    joined = near.join(direct, (near.seed == direct.src) & (near.node == direct.dst), "left").join(ranks.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
-    weight = F.when(F.col("node") == F.col("seed"), 0.0).otherwise(F.coalesce(F.col("p") * (1 + F.coalesce("rank", F.lit(0.0))), F.lit(0.0)))
-    order = Window.partitionBy("seed").orderBy((F.col("node") == F.col("seed")).desc(), F.round("weight", 9).desc(), "node")
-    return joined.select("seed", "node", weight.alias("weight")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    """(seed, node, weight, place): each seed and its neighbourhood, by the weight of direct edges, cut to most rows a seed.
+
+    Only direct neighbours have a weight, so the other nodes within hops are looked for where those don't fill the rows.
+    """
+    seeds, order = written(seeds.select("seed").distinct()), Window.partitionBy("seed").orderBy(F.col("own").desc(), F.round("weight", 9).desc(), "node")
+    cut = lambda df: df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    ends = directed(edges.select("src", "dst", "edge_type"), "both").filter("src <> dst" if hops > 0 else "false").join(few(seeds), F.col("seed") == F.col("src"))
+    # By node, so that the ranks and each pair's best edge need no other shuffle.
+    direct = ends.select("seed", F.col("dst").alias("node"), prior(F.col("edge_type")).alias("p")).join(ranks, "node", "left").groupBy("seed", "node").agg(F.max(F.col("p") * (1 + F.coalesce("rank", F.lit(0.0)))).alias("weight"))
+    best = written(cut(direct.withColumn("own", F.lit(False))))
+    full = written(best.filter(F.round("weight", 9) > 0).groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") >= most - 1).select("seed"))
+    found = seeds.join(full, "seed", "left_semi").select("seed", F.col("seed").alias("node"), F.lit(0.0).alias("weight"), F.lit(True).alias("own"))
+    found = found.unionByName(best.join(full, "seed", "left_semi").select("seed", "node", "weight", "own"))
+    lacking = written(seeds.join(full, "seed", "left_anti"))
+    if not lacking.isEmpty():
+        # Fewer than most of their neighbours have a weight, so best has all of these.
+        near = khop(edges, lacking, hops, "both").join(best.select("seed", "node", "weight"), ["seed", "node"], "left")
+        found = found.unionByName(near.select("seed", "node", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce(F.col("node") == F.col("seed"), F.lit(False)).alias("own")))
+    return cut(found).select("seed", "node", "weight", "place")
 
 
 def slice_edges(edges: DataFrame, near: DataFrame) -> DataFrame:

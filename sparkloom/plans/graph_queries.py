@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
 from ..operators import crdt, graph, spatial
 from .registry import query
 
@@ -75,8 +76,13 @@ def _pagerank(n):
     return f"{_G}, v AS ({_ALL}), c AS (SELECT count(*) AS n FROM v), w AS (SELECT src, dst, sum(p) / sum(sum(p)) OVER (PARTITION BY src) AS share FROM (SELECT src, dst, {_PRIOR} AS p FROM e) GROUP BY src, dst), r0 AS (SELECT node, 1::DOUBLE / n AS rank FROM v, c){rounds}"
 
 
-def _ranks(t, n):
-    e = t.derived(EDGES).withColumn("weight", graph.prior(F.col("edge_type")))
+def _edges(t):
+    """Written, as several steps read them."""
+    return written(t.derived(EDGES))
+
+
+def _ranks(t, n, e=None):
+    e = (_edges(t) if e is None else e).withColumn("weight", graph.prior(F.col("edge_type")))
     return graph.pagerank(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))), e, n)
 
 
@@ -125,13 +131,15 @@ def direct_neighbors(t):
 @query("expand_weighted", _pagerank(2) + _khop("both")[len(_G):] + f""", m AS (SELECT src AS ms, dst AS md, max({_PRIOR}) AS p FROM (SELECT src, dst, edge_type FROM e UNION ALL SELECT dst, src, edge_type FROM e) GROUP BY ALL)
  SELECT seed, node, round(weight, 9) AS weight, place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY (node = seed) DESC, round(weight, 9) DESC, node)::INT AS place FROM (SELECT seed, k.node, CASE WHEN k.node = seed THEN 0::DOUBLE ELSE coalesce(p * (1 + coalesce(rank, 0)), 0) END AS weight FROM k LEFT JOIN m ON seed = ms AND k.node = md LEFT JOIN r2 ON r2.node = k.node)) WHERE place <= 10""")
 def expand_weighted(t):
-    return graph.expand(t.derived(EDGES), _ranks(t, 2), t.derived(SEEDS), 2, 10).withColumn("weight", F.round("weight", 9))
+    e = _edges(t)
+    return graph.expand(e, _ranks(t, 2, e), t.derived(SEEDS), 2, 10).withColumn("weight", F.round("weight", 9))
 
 
 @query("expand_weighted_30", _R30 + _khop("both")[len(_G):] + f""", m AS (SELECT src AS ms, dst AS md, max({_PRIOR}) AS p FROM (SELECT src, dst, edge_type FROM e UNION ALL SELECT dst, src, edge_type FROM e) GROUP BY ALL)
  SELECT seed, node, round(weight, 9) AS weight, place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY (node = seed) DESC, round(weight, 9) DESC, node)::INT AS place FROM (SELECT seed, k.node, CASE WHEN k.node = seed THEN 0::DOUBLE ELSE coalesce(p * (1 + coalesce(rank, 0)), 0) END AS weight FROM k LEFT JOIN m ON seed = ms AND k.node = md LEFT JOIN r30 ON r30.node = k.node)) WHERE place <= 10""")
 def expand_weighted_30(t):
-    return graph.expand(t.derived(EDGES), _ranks(t, ITERATIONS), t.derived(SEEDS), 2, 10).withColumn("weight", F.round("weight", 9))
+    e = _edges(t)
+    return graph.expand(e, _ranks(t, ITERATIONS, e), t.derived(SEEDS), 2, 10).withColumn("weight", F.round("weight", 9))
 
 
 # Rectangles from the first four numbers of each embedding.
