@@ -32,3 +32,46 @@ def test_expansion_against_brute_force(spark, monkeypatch):
         want += [(s, n, round(w, 9), k) for k, (n, w) in enumerate(sorted(weight.items(), key=lambda x: (x[0] != s, -round(x[1], 9), x[0]))[:5], 1)]
     assert sorted((r.seed, r.node, round(r.weight, 9), r.place) for r in got.collect()) == sorted(want)
     assert sorted(asked) == ["c1", "c3", "none", "x27"]
+
+
+def _sides(spark, edges, monkeypatch):
+    """Once with all groups walked in tasks, once with all of them by joins."""
+    yield edges
+    monkeypatch.setattr(graph, "GROUP_STEPS", -1)
+    yield edges.union(edges).union(edges).repartition(1)
+
+
+def test_walks_against_brute_force(spark, monkeypatch):
+    rows = [(f"n{i}", f"n{i * i % 23}", ["call", "import", "odd", "inherit"][i % 4]) for i in range(40)] + [(f"n{i}", f"n{i + 1}", None) for i in range(39)] + [(None, "n1", "call"), ("n1", None, "call")]
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(0, 40, 3)] + [("none",), ("n3",)], "seed string")
+    whole = [r for r in rows if None not in r[:2]]
+    monkeypatch.setattr(graph, "GROUP_SEEDS", 5)
+    for edges in _sides(spark, spark.createDataFrame(rows, "src string, dst string, edge_type string"), monkeypatch):
+        for direction, hops in (("both", 2), ("out", 3)):
+            both = direction == "both"
+            got = graph.khop(edges, seeds, hops, direction)
+            assert sorted(map(tuple, got.collect())) == sorted((s, n, h) for s in {r.seed for r in seeds.collect()} for n, h in _near(whole, s, hops, both).items())
+            want = []
+            for s in {r.seed for r in seeds.collect()}:
+                front, best = {s: 1.0}, {}
+                for h in range(1, hops + 1):
+                    found = {}
+                    for a, b, t in [*whole, *([(d, c, t) for c, d, t in whole] if both else [])]:
+                        if a in front and b != s:
+                            found[b] = min(found.get(b, (9,)), (-front[a] * graph.PRIORS.get(t, graph.OTHER_PRIOR) * graph.DECAY ** (h - 1), t is not None, t or ""))
+                    front = {n: -x[0] for n, x in found.items()}
+                    for n, x in found.items():
+                        best[n] = min(best.get(n, (9,)), (x[0], h, x[2] if x[1] else None), key=lambda y: y[:2])
+                want += [(s, n, round(-x[0], 12), x[1], x[2]) for n, x in best.items()]
+            got = graph.propagate(edges, seeds, hops, direction)
+            assert sorted(map(repr, [(r.seed, r.node, round(r.score, 12), r.hop, r.via) for r in got.collect()])) == sorted(map(repr, want))
+
+
+def test_pairs_on_the_way_are_not_shuffled(spark):
+    """Two hops through 40 hubs make 40 times as many pairs as there are found."""
+    edges = spark.range(200).crossJoin(spark.range(40).toDF("hub")).selectExpr("concat('a', id) AS src", "concat('h', hub) AS dst", "'call' AS edge_type")
+    seeds = edges.select(edges.src.alias("seed")).distinct()
+    found = graph.khop(edges, seeds, 2, "both")
+    assert found.count() == 200 * 240
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "HashAggregate" not in plan.split("FlatMapCoGroupsInArrow")[0]
