@@ -15,6 +15,8 @@ _OWN: set[str] = set()
 SPLIT_BYTES = 64 << 20
 #: Rows of keys up to which a side of a join is broadcast.
 FEW_ROWS = 500_000
+#: Pairs that a task of a product makes.
+TASK_PAIRS = 250_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -49,9 +51,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame) -> DataFrame:
+def few(df: DataFrame, most: int | None = None) -> DataFrame:
     """df, read into every task by joins if it has few rows."""
-    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+    most = FEW_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def product_tasks(spark: SparkSession, rows: int, times: int) -> int:
+    """How many tasks a product of so many rows takes. Small rows with many partners need that said: by their size they'd be one."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows * times // TASK_PAIRS))
 
 
 def spread(df: DataFrame) -> DataFrame:

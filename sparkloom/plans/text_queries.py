@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import paths, text
+from ..functions import lineage, paths, text
+from ..functions.lineage import written
 from .registry import query
 
 ISSUES = """SELECT doc_id, concat(coalesce(text, ''), ' Traceback: File "pkg/sub/mod', doc_id % 50, '.py", line ', n_chars % 900, ', in run_', doc_id % 11, '.go then lib/core/x', doc_id % 9, '.py:', doc_id % 300, ' or Lib/core/X', doc_id % 9, '.py:', doc_id % 300, ':7 or C:', chr(92), 'src', chr(92), 'App', doc_id % 4, '.py:12 and File "pkg/other.py", line 12',
@@ -13,6 +14,8 @@ ISSUES = """SELECT doc_id, concat(coalesce(text, ''), ' Traceback: File "pkg/sub
 PATHS = """SELECT page_id, CASE WHEN page_id % 11 = 0 THEN concat('app', page_id % 5, '/tests/test_m', page_id, '.py') WHEN page_id % 7 = 0 THEN concat('app', page_id % 5, '/migrations/', lpad(concat('', page_id), 4, '0'), '_initial.py')
  WHEN page_id % 5 = 0 THEN concat('app', page_id % 9, '/sub', page_id, '/__init__.py') WHEN page_id % 3 = 0 THEN concat('node_modules/x', page_id, '/admin.py') WHEN page_id % 4 = 0 THEN concat(CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'tests_util/' ELSE 'conf/' END, CASE page_id % 5 WHEN 1 THEN 'global_settings.py' WHEN 2 THEN 'config.py' WHEN 3 THEN 'registry.py' WHEN 4 THEN 'conftest.py' ELSE 'settings.py' END)
  ELSE concat(replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '.', '/'), '.py') END AS path, CAST(length(html) % 40 AS BIGINT) AS loc FROM pages"""
+#: Paths of one stem that meet at once.
+BLOCK = 1000
 _STOP, _PLAIN = (",".join(f"'{w}'" for w in words) for words in (text.STOPWORDS, text.PLAIN))
 _U = r"[\p{L}\p{N}_]+"
 _BL = r"\s\x0B\x1C-\x1F\x85\p{Z}"
@@ -167,10 +170,18 @@ def scan_by_folder(t):
 @query("path_match", _paths(f"""SELECT a.page_id, b.page_id AS other, CASE WHEN ends_with(a.path, b.path) OR ends_with(b.path, a.path) THEN 18 WHEN a.b = b.b THEN 12 WHEN a.s = b.s THEN 8 ELSE 0 END AS score
  FROM (SELECT page_id, lower(path) AS path, lower({_B}) AS b, lower({_STEM}) AS s FROM p) a JOIN (SELECT page_id, lower(path) AS path, lower({_B}) AS b, lower({_STEM}) AS s FROM p) b ON a.s = b.s AND a.page_id < b.page_id"""))
 def path_match(t):
-    """Every score but 0 needs the same stem, so paths meet by it."""
-    a = t.derived(PATHS).select("page_id", "path", F.lower(paths.stem(F.col("path"))).alias("s"))
-    b = a.select(F.col("page_id").alias("other"), F.col("path").alias("path2"), "s")
-    return a.join(b, "s").filter("page_id < other").select("page_id", "other", paths.match_score(F.col("path"), F.col("path2")).alias("score"))
+    """Every score but 0 needs the same stem, so paths meet by it: those of a stem in blocks, each two of which are a task's own."""
+    low = F.lower("path")
+    rows = written(t.derived(PATHS).select("page_id", low.alias("path"), paths.base(low).alias("b"), F.lower(paths.stem(F.col("path"))).alias("s")))
+    many = rows.groupBy("s").agg(F.count("*").alias("n"))
+    pairs = many.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    tasks = max(t.spark.sparkContext.defaultParallelism, -(-pairs // (2 * lineage.TASK_PAIRS)))
+    own = rows.join(many.select("s", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "s").withColumn("own", F.pmod(F.xxhash64("page_id"), F.col("k")).cast("int"))
+    a = own.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("i", F.col("k") - 1)))
+    b = own.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "j"))).select("s", "i", "j", F.col("page_id").alias("other"), F.col("path").alias("path2"), F.col("b").alias("b2"))
+    met = a.repartition(tasks, "s", "i", "j").join(b.repartition(tasks, "s", "i", "j").hint("merge"), ["s", "i", "j"]).filter("i < j and page_id <> other or page_id < other")
+    score = F.when(F.endswith("path", "path2") | F.endswith("path2", "path"), 18).when(F.col("b") == F.col("b2"), 12).otherwise(8)
+    return met.select(F.least("page_id", "other").alias("page_id"), F.greatest("page_id", "other").alias("other"), score.alias("score"))
 
 
 @query("ns_dedup", _paths(f"SELECT folder, CASE WHEN n > 1 THEN c || n ELSE c END AS name FROM (SELECT folder, {_CAMEL.replace('cm', 'c0')} AS c, row_number() OVER (PARTITION BY {_CAMEL.replace('cm', 'c0')} ORDER BY CASE WHEN folder = '.' THEN 0 ELSE len(string_split(folder, '/')) END, folder) AS n FROM (SELECT folder, {_CM.replace('path', 'folder')} AS c0 FROM (SELECT DISTINCT {_CLUSTER} AS folder FROM p)))"))

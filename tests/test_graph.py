@@ -75,3 +75,21 @@ def test_pairs_on_the_way_are_not_shuffled(spark):
     assert found.count() == 200 * 240
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "HashAggregate" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_paths_of_one_stem_meet_in_many_tasks(spark, monkeypatch):
+    """The rows are those of the SQL for blocks of any size, and no task has all pairs of a stem."""
+    import duckdb
+
+    from sparkloom.functions import lineage
+    from sparkloom.plans import all_queries, text_queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view pages as from '{folder}/pages.parquet'")
+    want = sorted(con.execute(all_queries.SQL["path_match"]).fetchall())
+    monkeypatch.setattr(text_queries, "BLOCK", 7)
+    monkeypatch.setattr(lineage, "TASK_PAIRS", 50)
+    got = all_queries.QUERIES["path_match"](spark, folder)
+    assert sorted(map(tuple, got.collect())) == want
+    assert max(len(x) for x in got.rdd.glom().collect()) < len(want) / 4
