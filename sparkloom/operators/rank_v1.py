@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..functions.lineage import written
+from ..functions.lineage import few, product_tasks, written
 from . import graph
 
 SETTINGS = sorted("upload permission permissions env environ settings default config configuration".split())
@@ -36,36 +36,48 @@ def scores(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     q = queries.withColumns({"low": F.lower(t), "terms": text.issue_terms(t), "words": text.keywords(t), "frames": text.trace_frames(t)})
     lows = F.transform("terms", F.lower)
     q = q.withColumns({"lows": lows, "pys": F.transform(F.filter(lows, lambda x: F.endswith(x, F.lit(".py"))), paths.base), "symbols_": F.filter(lows, lambda x: F.contains(x, F.lit(".")) & ~F.endswith(x, F.lit(".py"))), "config": F.arrays_overlap("words", text.strings(SETTINGS)), "infra": F.exists(text.strings(TEST_INFRA), lambda x: F.contains(F.lower(t), x))})
+    # Whatever a text or a node alone tells is told before they meet.
+    f_path = lambda f: F.lower(F.translate(f["path"], "\\", "/"))
+    tail = lambda x: F.element_at(F.split(x, r"\."), -1)
+    called = lambda f: F.lower(f["symbol"])
+    q = q.withColumns({
+        "frames": F.transform("frames", lambda f: F.struct(f_path(f).alias("path"), paths.base(f_path(f)).alias("base"), paths.stem(f_path(f)).alias("stem"), f["line"].alias("line"), called(f).alias("symbol"), tail(called(f)).alias("tail"))),
+        "lows": F.transform("lows", lambda x: F.struct(x.alias("x"), tail(x).alias("tail"), paths.base(x).alias("base"), F.contains(x, F.lit("/")).alias("slash"))),
+        "symbols_": F.transform("symbols_", lambda x: F.struct(x.alias("symbol"), tail(x).alias("tail"))),
+    })
     q = written(q.drop("text", "terms"))
-    n = nodes.withColumns({"p": F.lower(F.coalesce("path", F.lit(""))), "n": F.lower("name"), "ns": F.lower("ns_path"), "k": F.coalesce("spans", F.array().cast("array<string>")), "filed": F.col("spans").isNotNull()}).withColumns({"b": paths.base(F.col("p")), "st": paths.stem(F.col("p"))})
+    n = nodes.withColumns({"p": F.lower(F.coalesce("path", F.lit(""))), "n": F.lower("name"), "ns": F.lower("ns_path"), "k": F.coalesce("spans", F.array().cast("array<string>")), "filed": F.col("spans").isNotNull()}).withColumns({"b": paths.base(F.col("p")), "st": paths.stem(F.col("p")), "x": F.translate("p", "\\", "/")}).withColumns({"xb": paths.base(F.col("x")), "xs": paths.stem(F.col("x"))})
     p, b, name, low, keys = (F.col(c) for c in ("p", "b", "n", "low", "k"))
-    tail = lambda x: F.element_at(F.split(x, r"\."), -1)
-    hit = lambda f: F.when(p == "", 0).otherwise(paths.match_score(F.col("p"), f["path"]))
+    x = F.col("x")
+    hit = lambda f: F.when(p == "", 0).when(F.endswith(x, f["path"]) | F.endswith(f["path"], x), 18).when(F.col("xb") == f["base"], 12).when(F.col("xs") == f["stem"], 8).otherwise(0)
     inside = lambda f: f["line"].between(F.col("line_start"), F.col("line_end"))
-    called = lambda f: F.lower(f["symbol"])
     add = lambda values, f: F.aggregate(values, F.lit(0), lambda acc, x: acc + f(x))
-    in_keys = lambda x, whole, part: F.when(F.array_contains(keys, x), whole).when(F.array_contains(keys, tail(x)), part).otherwise(0)
+    in_keys = lambda x, whole, part: F.when(F.array_contains(keys, x["symbol"]), whole).when(F.array_contains(keys, x["tail"]), part).otherwise(0)
     traced = (F.size("symbols_") > 0) & F.col("filed")
     evidence = {
         "config": F.when(F.col("config") & (b.isin("settings.py", "global_settings.py", "__init__.py", "config.py") | F.contains(p, F.lit("conf/")) | F.coalesce(F.col("node_type") == "config", F.lit(False))), 50).otherwise(0),
         "stem": F.when((p != "") & F.contains(low, F.col("st")), 8).otherwise(0),
         "file": F.when(F.contains(low, b), 8).otherwise(0),
         "trace": add("frames", lambda f: hit(f) + F.when((hit(f) > 0) & inside(f), 24).otherwise(0)),
-        "trace-symbol": add("frames", lambda f: F.when((called(f) != "") & ((called(f) == name) | _ends(called(f), name) | _ends(name, called(f))), 10).otherwise(0)),
+        "trace-symbol": add("frames", lambda f: F.when((f["symbol"] != "") & ((f["symbol"] == name) | _ends(f["symbol"], name) | _ends(name, f["symbol"])), 10).otherwise(0)),
         "path-term": 12 * _count(F.col("pys"), lambda x: x == b),
         "name": F.when(F.contains(low, name), 8).otherwise(0),
-        "exact-path": 12 * _count(F.col("lows"), lambda x: F.contains(x, F.lit("/")) & (F.endswith(p, x) | (paths.base(x) == b))),
-        "exact-symbol": 10 * _count(F.col("lows"), lambda x: (x == name) | _ends(x, name)),
-        "tail": 6 * _count(F.col("lows"), lambda x: tail(x) == name),
-        "path-tail": 6 * _count(F.col("lows"), lambda x: F.contains(p, tail(x))),
+        "exact-path": 12 * _count(F.col("lows"), lambda x: x["slash"] & (F.endswith(p, x["x"]) | (x["base"] == b))),
+        "exact-symbol": 10 * _count(F.col("lows"), lambda x: (x["x"] == name) | _ends(x["x"], name)),
+        "tail": 6 * _count(F.col("lows"), lambda x: x["tail"] == name),
+        "path-tail": 6 * _count(F.col("lows"), lambda x: F.contains(p, x["tail"])),
         "syntax-symbol": F.when(traced, add("symbols_", lambda x: in_keys(x, 30, 20))).otherwise(0),
-        "syntax-trace": F.when(traced, add("frames", lambda f: F.when(called(f) == "", 0).otherwise(in_keys(called(f), 20, 12)))).otherwise(0),
+        "syntax-trace": F.when(traced, add("frames", lambda f: F.when(f["symbol"] == "", 0).otherwise(in_keys(f, 20, 12)))).otherwise(0),
         "keyword": add("words", lambda w: F.when(F.contains(name, w), 3).otherwise(0) + F.when(F.contains(p, w), 3).otherwise(0) + F.when(F.contains(F.col("ns"), w), 1).otherwise(0)),
     }
     made = {f"e_{i}": v for i, v in enumerate(evidence.values())}
     total = sum((F.col(c) for c in made), F.lit(0))
     held = (F.col("total") > 0) & F.contains(F.translate(p, "\\", "/"), F.lit("tests/")) & ~F.col("infra")
-    out = n.crossJoin(F.broadcast(q)).withColumns(made).withColumn("total", total).withColumn("score", F.when(held, F.greatest(F.lit(0), F.col("total") - 40)).otherwise(F.col("total")))
+    tasks = product_tasks(n.sparkSession, n.count(), q.count())
+    pairs = n.repartition(tasks).crossJoin(few(q, 10_000))
+    # Made in a row of its own, or the filter below would make all of it again.
+    pairs = pairs.select(*[c for c in ("query_id", "node_id", "path", "name", "line_start", "line_end", "p", "infra")], F.inline(F.array(F.struct(*[v.alias(c) for c, v in made.items()]))))
+    out = pairs.withColumn("total", total).withColumn("score", F.when(held, F.greatest(F.lit(0), F.col("total") - 40)).otherwise(F.col("total")))
     why = F.array_compact(F.array(*[F.when(F.col(c) > 0, k) for c, k in zip(made, evidence)], F.when(held, "test-penalty")))
     return out.filter("score > 0").select("query_id", "node_id", "path", "name", "line_start", "line_end", F.col("score").cast("long").alias("score"), why.alias("reasons"))
 
