@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..functions.lineage import few, product_tasks, written
 
 BETAS = dict(lex=0.25, trace=5.0, sym=4.0, cent=0.3, idf=0.2, reg=0.0, stem=1.0, path_term=4.5, explicit_path=6.0, symbol_exact=35.0, dunder=12.0, domain=15.0, error_code=25.0, upper_const=18.0, mgmt_command=30.0, call_target=3.0, inherit_target=4.0, term_idf=2.5)
 #: What stands for a weight that a configuration lacks.
@@ -22,6 +23,8 @@ ORM = sorted("sql queries models. db.models schema_editor aggregate annotate pre
 FORMS = sorted("help_text helptext formset boundfield errorlist html= render( <select <form <input request.post is_valid() cleaned_data render_value widget modelform forms.form".split() + ["form field"])
 ADMIN = sorted("admin/ list_filter list_display modeladmin adminsite admin.".split() + ["admin panel"])
 K1, B = 1.5, 0.75
+#: Queries of whom a node has its scores in a map.
+MAP_QUERIES = 1000
 
 
 def with_defaults(nodes: DataFrame, known: DataFrame) -> DataFrame:
@@ -35,32 +38,33 @@ def with_defaults(nodes: DataFrame, known: DataFrame) -> DataFrame:
     return out.join(out.groupBy("cluster").agg(F.count("*").alias("cluster_size")), "cluster")
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, tasks: int | None = None) -> DataFrame:
     """(query_id, doc_id, score) of docs (doc_id, terms) for queries (query_id, terms), where a term is shared. Repeated query terms count.
 
+    A term of many queries and many documents makes a row for each pair, so documents are dealt to tasks (by the number of such
+    rows, if not given) and meet all queries' terms there.
+
     Document frequencies and lengths cover all docs; only terms of queries are joined with their postings. Terms are written
     down once as counts, as the lengths and both frequencies come from them.
     """
-    from ..functions.lineage import written
-
     wanted = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = written(wanted)
     keep = wanted.select("term").distinct()
     sized = docs.select("doc_id", F.size("terms").alias("dl"), "terms")
     counted = sized.select("doc_id", "dl", F.explode_outer("terms").alias("term"))
     # A row of no term for each document carries its length; the rest are the postings of wanted terms.
-    postings = written(counted.join(F.broadcast(keep.withColumn("hit", F.lit(True))) if _small(keep) else keep.withColumn("hit", F.lit(True)), "term", "left").groupBy("doc_id", "dl", F.when(F.col("hit"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")))
+    postings = written(counted.join(few(keep.withColumn("hit", F.lit(True)), 1_000_000), "term", "left").groupBy("doc_id", "dl", F.when(F.col("hit"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")))
     lengths = postings.select("doc_id", "dl").distinct()
     total = lengths.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avg"))  # one row
     hits = postings.filter("term is not null")
     n = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighed = hits.join(n, "term").withColumn("w", F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg"))) * idf)
-    return weighed.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
-
-
-def _small(keys: DataFrame, limit: int = 1_000_000) -> bool:
-    return keys.count() <= limit
+    if tasks is None:
+        pairs = weighed.groupBy("term").agg(F.count("*").alias("d")).join(wanted.groupBy("term").agg(F.count("*").alias("q")), "term")
+        tasks = product_tasks(docs.sparkSession, pairs.agg(F.sum(F.col("d") * F.col("q"))).first()[0] or 0, 1)
+    weighed = weighed.select("doc_id", "term", "w").repartition(tasks, "doc_id")
+    return weighed.join(few(wanted, 1_000_000), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -84,34 +88,43 @@ def with_terms(queries: DataFrame) -> DataFrame:
     return mined.withColumns({"net": _count(ORM, F.col("low")) - _count(FORMS, F.col("low")), "admin": _count(ADMIN, F.col("low"))})
 
 
+def _dealt(nodes: DataFrame, tasks: int | None) -> DataFrame:
+    return nodes.repartition(*([tasks] if tasks else []), "node_id")
+
+
 def _weight(symbol: Column) -> Column:
     return 1.0 + F.when(F.length(symbol) >= 8, 0.5).otherwise(0.0) + F.when(F.substr(symbol, F.lit(2)).rlike(r"\p{Lu}"), 0.5).otherwise(0.0)
 
 
-def symbol_exact(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+def symbol_exact(nodes: DataFrame, queries: DataFrame, tasks: int | None = None) -> DataFrame:
     """(query_id, node_id, symbol_exact): terms that are symbols count by how telling they are, the parts of dotted terms at seven
-    tenths; each name counts once, as it comes first. A join by name."""
+    tenths; each name counts once, as it comes first. A join by name; nodes are dealt to so many tasks, since a name that many
+    nodes and queries have makes a row for each pair."""
     terms = queries.select("query_id", F.posexplode("terms").alias("pos", "term")).select("query_id", "pos", F.lower("term").alias("term"))
     whole = terms.select("query_id", "pos", F.lit(0).alias("at"), F.col("term").alias("l"), "term")
     parts = terms.filter(F.contains("term", F.lit("."))).select("query_id", "pos", F.posexplode(F.split("term", r"\.")).alias("at", "l"), "term").filter("l <> ''")
     spelled = nodes.select("node_id", F.posexplode("symbols").alias("k", "s")).groupBy("node_id", F.lower("s").alias("l")).agg(F.max_by("s", "k").alias("s"))
-    hits = whole.withColumn("part", F.lit(False)).unionByName(parts.withColumn("part", F.lit(True))).join(spelled, "l")
+    asked = written(whole.withColumn("part", F.lit(False)).unionByName(parts.withColumn("part", F.lit(True))))
+    hits = _dealt(spelled, tasks).join(few(asked, 1_000_000), "l")
     # A dotted term that is a symbol as a whole has no parts.
-    taken = hits.filter(~F.col("part") & F.contains("term", F.lit("."))).select("query_id", "node_id", "pos")
-    hits = hits.filter(~F.col("part")).unionByName(hits.filter("part").join(taken, ["query_id", "node_id", "pos"], "left_anti").select(*hits.columns))
+    taken = F.max(~F.col("part") & F.contains("term", F.lit("."))).over(Window.partitionBy("query_id", "node_id", "pos"))
+    hits = hits.withColumn("taken", taken).filter(~(F.col("part") & F.col("taken")))
     first = hits.groupBy("query_id", "node_id", "l").agg(F.min_by(F.struct("part", "s"), F.struct("pos", "at")).alias("m"))
     w = _weight(F.col("m.s")) * F.when(F.col("m.part"), 0.7).when(F.col("m.s").isin(GENERIC), 0.4).otherwise(1.0)
     return first.groupBy("query_id", "node_id").agg(F.sum(w).alias("symbol_exact"))
 
 
-def term_idf(nodes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """(query_id, node_id, term_idf): log(1 + n / nodes) of each distinct term that is a symbol or the stem of the node, whole or by its tail."""
+def term_idf(nodes: DataFrame, queries: DataFrame, n: int, tasks: int | None = None) -> DataFrame:
+    """(query_id, node_id, term_idf): log(1 + n / nodes) of each distinct term that is a symbol or the stem of the node, whole or by its
+    tail. Nodes are dealt to so many tasks."""
     terms = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term"))
     keys = terms.select("query_id", "term", F.explode(F.array_distinct(F.array("term", text.tail(F.col("term"))))).alias("key")).filter("key <> ''")
     names = nodes.select("node_id", F.explode(F.array_distinct(F.concat("lows", F.array("stem_")))).alias("key"))
-    hits = keys.join(names, "key").select("query_id", "term", "node_id").distinct()
-    df = hits.select("term", "node_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    return hits.join(df, "term").groupBy("query_id", "node_id").agg(F.sum(F.log(1 + F.lit(float(n)) / F.col("df"))).alias("term_idf"))
+    keys = written(keys)
+    of_term = keys.select("term", "key").distinct()
+    df = written(names.join(few(of_term, 1_000_000), "key").select("term", "node_id").distinct().groupBy("term").agg(F.count("*").alias("df")))
+    hits = _dealt(names, tasks).join(few(keys.join(df, "term"), 1_000_000), "key").select("query_id", "term", "node_id", "df").distinct()
+    return hits.groupBy("query_id", "node_id").agg(F.sum(F.log(1 + F.lit(float(n)) / F.col("df"))).alias("term_idf"))
 
 
 def _domain(p: Column) -> Column:
@@ -144,33 +157,41 @@ def token_bag(nodes: DataFrame) -> Column:
 def signals(nodes: DataFrame, queries: DataFrame, cap: float) -> DataFrame:
     """(query_id, node_id, path, name, kind, cluster, a column for each of BETAS, into, low, ...) of all nodes for all queries.
 
-    The product of nodes and queries is what is asked for: the result has a row for each pair. The side of the queries is read
-    into every task; BM25, exact symbols and term frequencies are joined by key. Null paths count as empty ones.
+    The product of nodes and queries is what is asked for: the result has a row for each pair. Nodes are dealt to tasks by the
+    number of pairs, and the side of the queries is read into every task. BM25, exact symbols and term frequencies are found by
+    keys in the same tasks, and each node takes its own along as a map by query, so pairs aren't shuffled; with too many queries
+    for that they are joined. Null paths count as empty ones.
     """
-    from ..functions.lineage import written
-
     nodes = nodes.withColumn("path", F.coalesce("path", F.lit("")))
-    nodes = nodes.withColumns({"lows": F.transform("symbols", F.lower), "lp": F.lower(F.translate("path", "\\", "/"))}).withColumn("stem_", paths.stem(F.col("lp")))
-    q = written(with_terms(queries))
+    nodes = nodes.withColumns({"lows": F.transform("symbols", F.lower), "lp": F.lower(F.translate("path", "\\", "/"))}).withColumns({"stem_": paths.stem(F.col("lp")), "base_": paths.base(F.col("lp"))})
+    # Whatever a text or a node alone tells is told before they meet.
+    low_path = lambda f: F.lower(f["path"])
+    lows = F.transform("terms", F.lower)
+    told = with_terms(queries).withColumns({
+        "frames_": F.transform("frames", lambda f: F.struct(low_path(f).alias("path"), paths.base(low_path(f)).alias("base"), f["line"].alias("line"))),
+        "lows_": F.transform(lows, lambda t: F.struct(t.alias("t"), text.tail(t).alias("tail"))),
+        "py_": F.transform(F.filter(lows, lambda t: F.endswith(t, F.lit(".py"))), lambda t: F.struct(t.alias("t"), paths.base(t).alias("base"))),
+    })
+    q = written(told)
     n = nodes.count()
-    lex = bm25(nodes.select(F.col("node_id").alias("doc_id"), token_bag(nodes).alias("terms")), q.select("query_id", F.col("tokens").alias("terms"))).select("query_id", F.col("doc_id").alias("node_id"), F.col("score").alias("lex"))
-    keyed = lex.join(symbol_exact(nodes, q), ["query_id", "node_id"], "full").join(term_idf(nodes, q, n), ["query_id", "node_id"], "full")
+    tasks = product_tasks(nodes.sparkSession, n, q.count())
+    lex = bm25(nodes.select(F.col("node_id").alias("doc_id"), token_bag(nodes).alias("terms")), q.select("query_id", F.col("tokens").alias("terms")), tasks).select("query_id", F.col("doc_id").alias("node_id"), F.col("score").alias("lex"))
+    keyed = {"lex": lex, "symbol_exact": symbol_exact(nodes, q, tasks), "term_idf": term_idf(nodes, q, n, tasks)}
     p, low = F.col("lp"), F.col("low")
     filed = p != ""
-    hit = lambda f: filed & (F.endswith(p, F.lower(f["path"])) | F.endswith(F.lower(f["path"]), p))
-    same = lambda f: filed & (paths.base(p) == paths.base(F.lower(f["path"])))
-    py = F.filter(F.transform("terms", F.lower), lambda t: F.endswith(t, F.lit(".py")))
-    sym = F.coalesce(F.array_max(F.flatten(F.transform("terms", lambda t: F.transform("lows", lambda s: F.when(s == F.lower(t), 1.0).when(s == text.tail(t), 0.85).when(F.contains(s, F.lower(t)) | F.contains(F.lower(t), s), 0.5).otherwise(0.0))))), F.lit(0.0))
+    hit = lambda f: filed & (F.endswith(p, f["path"]) | F.endswith(f["path"], p))
+    same = lambda f: filed & (F.col("base_") == f["base"])
+    sym = F.coalesce(F.array_max(F.flatten(F.transform("lows_", lambda t: F.transform("lows", lambda s: F.when(s == t["t"], 1.0).when(s == t["tail"], 0.85).when(F.contains(s, t["t"]) | F.contains(t["t"], s), 0.5).otherwise(0.0))))), F.lit(0.0))
     explicit = F.transform("explicit", lambda e: F.when(F.endswith(p, e), 1.0).when(~F.endswith(e, F.lit(".py")) & F.contains(F.concat(F.lit("/"), p, F.lit("/")), F.concat(F.lit("/"), e, F.lit("/"))), 0.5).otherwise(0.0))
     settings = F.contains(p, F.lit("conf/global_settings")) | F.endswith(p, F.lit("conf/__init__.py")) | F.contains(p, F.lit("/conf/__init__"))
     made = {
-        "trace": _sum(F.col("frames"), lambda f: F.when(hit(f), 1.0 + F.when(f["line"].between(F.col("line_start"), F.col("line_end")), 1.5).otherwise(0.0)).when(same(f), 0.5).otherwise(0.0)),
+        "trace": _sum(F.col("frames_"), lambda f: F.when(hit(f), 1.0 + F.when(f["line"].between(F.col("line_start"), F.col("line_end")), 1.5).otherwise(0.0)).when(same(f), 0.5).otherwise(0.0)),
         "sym": sym,
         "cent": F.log1p(F.least("pr", F.lit(cap)) * 1000),
         "idf": F.log(1 + 1 / F.greatest(F.lit(1), "cluster_size")),
         "reg": (F.col("kind") == "registry").cast("double"),
         "stem": F.when((F.length("stem_") > 3) & (F.col("stem_") != "__init__") & F.contains(low, F.col("stem_")), 1.0).otherwise(0.0),
-        "path_term": F.when(F.exists(py, lambda t: F.endswith(p, t) | (paths.base(p) == paths.base(t))), 1.0).otherwise(0.0),
+        "path_term": F.when(F.exists("py_", lambda t: F.endswith(p, t["t"]) | (F.col("base_") == t["base"])), 1.0).otherwise(0.0),
         "explicit_path": F.coalesce(F.get(F.filter(explicit, lambda v: v > 0), F.lit(0)), F.lit(0.0)),
         "dunder": F.when(F.size("dunders") > 0, F.contains(p, F.lit("lookups")).cast("double") + _sum(F.col("dunders"), lambda d: F.array_contains(F.col("lows"), d).cast("double") + F.array_contains(F.col("lows"), F.replace(d, F.lit("_"), F.lit(""))).cast("double"))).otherwise(0.0),
         "domain": _domain(p),
@@ -179,10 +200,19 @@ def signals(nodes: DataFrame, queries: DataFrame, cap: float) -> DataFrame:
         "mgmt_command": _sum(F.col("verbs"), lambda v: F.when(F.endswith(p, F.concat(F.lit("management/commands/"), v, F.lit(".py"))) | F.contains(p, F.concat(F.lit("/management/commands/"), v, F.lit(".py"))), 1.0).when(v.isin("sqlmigrate", "migrate", "makemigrations", "showmigrations") & p.rlike("db/migrations/(executor|loader)[.]py$"), 0.4).otherwise(0.0)),
         "call_target": F.least(F.lit(1.0), 0.2 * F.col("calls")),
         "inherit_target": F.least(F.lit(1.0), 0.25 * F.col("inherits")),
-        "into": F.exists("frames", lambda f: hit(f) | same(f)),
+        "into": F.exists("frames_", lambda f: hit(f) | same(f)),
     }
-    pairs = nodes.crossJoin(F.broadcast(q) if _small(q, 10_000) else q).withColumns(made)
-    pairs = pairs.join(keyed, ["query_id", "node_id"], "left").fillna(0.0, ["lex", "symbol_exact", "term_idf"])
+    if by_node := q.limit(MAP_QUERIES + 1).count() <= MAP_QUERIES:
+        nodes = nodes.repartition(tasks, "node_id")
+        for name, found in keyed.items():
+            own = found.filter("query_id is not null").groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", name))).alias(f"__{name}"))
+            nodes = nodes.join(own.hint("merge"), "node_id", "left")
+            made[name] = F.coalesce(F.try_element_at(F.col(f"__{name}"), F.col("query_id")), F.lit(0.0))
+    pairs = (nodes if by_node else nodes.repartition(tasks)).crossJoin(few(q, 10_000)).withColumns(made)
+    if not by_node:
+        for found in keyed.values():
+            pairs = pairs.join(found, ["query_id", "node_id"], "left")
+        pairs = pairs.fillna(0.0, list(keyed))
     return pairs.select("query_id", "node_id", "path", "name", "kind", "cluster", "cluster_size", "pr", "calls", "inherits", "line_start", "line_end", *BETAS, "into", "low")
 
 

@@ -88,8 +88,27 @@ def test_paths_of_one_stem_meet_in_many_tasks(spark, monkeypatch):
     con = duckdb.connect()
     con.execute(f"create view pages as from '{folder}/pages.parquet'")
     want = sorted(con.execute(all_queries.SQL["path_match"]).fetchall())
-    monkeypatch.setattr(text_queries, "BLOCK", 7)
-    monkeypatch.setattr(lineage, "TASK_PAIRS", 50)
+    monkeypatch.setattr(text_queries, "BLOCK", 3)
+    monkeypatch.setattr(lineage, "TASK_PAIRS", 2)
     got = all_queries.QUERIES["path_match"](spark, folder)
     assert sorted(map(tuple, got.collect())) == want
-    assert max(len(x) for x in got.rdd.glom().collect()) < len(want) / 4
+    assert max(len(x) for x in got.rdd.glom().collect()) < len(want) / 2
+
+
+def test_signals_are_dealt_to_tasks_and_pairs_are_not_joined(spark, monkeypatch):
+    """A name that all nodes and texts share makes a row for each pair; no task has all of these, and no pair is shuffled."""
+    from sparkloom.functions import lineage
+    from sparkloom.operators import rank
+
+    monkeypatch.setattr(lineage, "TASK_PAIRS", 200)
+    nodes = rank.with_defaults(spark.range(60).selectExpr("id AS node_id", "concat('pkg', id % 3, '/mod', id, '.py') AS path", "concat('Mod', id) AS name", "1 AS line_start", "9 AS line_end"), spark.range(60).selectExpr("id AS node_id", "'normal' AS kind", "array('QuerySet', concat('Field', id)) AS symbols", "0.1D AS pr", "id % 3 AS calls", "id % 2 AS inherits", "concat('c', id % 4) AS cluster"))
+    queries = spark.range(40).selectExpr("id AS query_id", "concat('QuerySet of `Field', id, '.x` and QuerySet.Field', id + 1, ' in mod', id, '.py') AS text")
+    by_map = rank.signals(nodes, queries, 0.04)
+    assert max(len(x) for x in by_map.rdd.glom().collect()) <= 2400 / 4
+    plan = by_map.select("query_id", "node_id", "lex")._jdf.queryExecution().executedPlan().toString()
+    assert "query_id" not in "".join(line for line in plan.splitlines() if "SortMergeJoin" in line)
+    seen = lambda df: sorted((r.query_id, r.node_id, *(round(r[c], 9) for c in rank.BETAS)) for r in df.collect())
+    got = seen(by_map)
+    assert len(got) == 2400 and all(sum(r[2 + list(rank.BETAS).index(c)] > 0 for r in got) > 30 for c in ("lex", "symbol_exact", "term_idf"))
+    monkeypatch.setattr(rank, "MAP_QUERIES", 0)
+    assert seen(rank.signals(nodes, queries, 0.04)) == got
